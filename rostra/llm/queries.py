@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from rostra.llm import toxicity as tox
 from rostra.llm.common import table
+from rostra.llm.licenses import licenses
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -24,3 +25,19 @@ def query(f: Query) -> Query:
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = tox.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ~tox.held_out())
     return out.select("doc_id", tox.held_out().alias("held_out"), "score", "predicted")
+
+
+@query
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = F.filter("places", lambda p: p["kind"] == "base")
+    starts = F.transform(base, lambda p: p["word"])
+    return licenses(table(spark, sf_dir, "documents")).select(
+        "doc_id",
+        "n_words",
+        F.size(base).cast("long").alias("n_base"),
+        F.array_min(starts).alias("first_word"),
+        F.array_max(starts).alias("last_word"),
+        F.array_join(F.array_sort(F.array_distinct(F.transform(base, lambda p: p["label"]))), ",").alias("base_labels"),
+        F.array_join("labels", ",").alias("labels"),
+        "score",
+    )
