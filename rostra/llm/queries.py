@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rostra.llm import avi
+from rostra.llm import avi, packing
 from rostra.llm import toxicity as tox
 from rostra.llm.common import table
 from rostra.llm.licenses import licenses
@@ -47,3 +47,8 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op3_avi_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return avi.digests(table(spark, sf_dir, "documents"))
+
+
+@query
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.best_fit(table(spark, sf_dir, "documents"))
