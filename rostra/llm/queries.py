@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rostra.llm import avi, packing
+from rostra.llm import avi, mixing, packing
 from rostra.llm import toxicity as tox
 from rostra.llm.common import table
 from rostra.llm.licenses import licenses
@@ -52,3 +52,48 @@ def op3_avi_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit(table(spark, sf_dir, "documents"))
+
+
+@query
+def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.taken(table(spark, sf_dir, "documents")).drop("source")
+
+
+ORACLE_SQL["op1_mix_sources"] = r"""
+with docs as (
+  select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size,
+    md5(concat('mix:', coalesce(cast(doc_id as varchar), ''), ':', md5(coalesce(text, '')))) as digest,
+    coalesce(greatest(0.1::double, 1.0::double - 5.0::double *
+      ((length(text) - length(translate(text, '#$%&*|!^~<>={}[]@+', '')))::double / nullif(length(text), 0)::double)), 1.0::double) as weight
+  from documents),
+keyed as (
+  select doc_id, source, size,
+    -ln(((('0x' || substr(digest, 1, 13))::bigint)::double + 0.5::double) / 4503599627370496.0::double) / weight as key
+  from docs),
+sizes as (select source, sum(size)::bigint as source_size from keyed group by source),
+ranked as (
+  select *, [5.0::double, 2.0::double, 1.0::double][((row_number() over (order by encode(source) nulls last) - 1) % 3 + 1)::int] as weight,
+    source_size * 3.0::double as cap
+  from sizes),
+line as (
+  select *, (sum(source_size) over ())::double as everything, sum(weight) over () as weights,
+    coalesce(sum(cap) over w, 0) as caps, coalesce(sum(weight) over w, 0) as used
+  from ranked
+  window w as (order by cap / weight, encode(source) nulls last rows between unbounded preceding and 1 preceding)),
+rates as (select *, (everything - caps) / (weights - used) as rate from line),
+free as (select *, cap > weight * rate as is_free from rates),
+goals as (
+  select source, source_size,
+    case when is_free then weight * max(case when is_free then rate end) over () else cap end as target
+  from free),
+parts as (
+  select *, case when source_size > 0 then floor(target / source_size) else 0 end as epochs from goals),
+ordered as (
+  select k.*, p.source_size, p.target, p.epochs, p.target - p.epochs * p.source_size as rest,
+    sum(size) over (partition by k.source order by key range between unbounded preceding and current row) as until,
+    sum(size) over (partition by k.source, key) as alike
+  from keyed k join parts p on k.source is not distinct from p.source)
+select doc_id, size, source_size, target,
+  (size * (epochs + case when until <= rest or until - alike / 2.0::double <= rest then 1 else 0 end))::bigint as taken
+from ordered
+"""
