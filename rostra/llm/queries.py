@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rostra.llm import avi, mixing, packing
+from rostra.llm import avi, mixing, packing, sharding
 from rostra.llm import toxicity as tox
 from rostra.llm.common import table
 from rostra.llm.licenses import licenses
@@ -97,3 +97,8 @@ select doc_id, size, source_size, target,
   (size * (epochs + case when until <= rest or until - alike / 2.0::double <= rest then 1 else 0 end))::bigint as taken
 from ordered
 """
+
+
+@query
+def op7_label_propagation_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(table(spark, sf_dir, "documents"))
