@@ -1,0 +1 @@
+"""Analytics over scored text documents on Spark."""

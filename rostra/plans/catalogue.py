@@ -1,4 +1,313 @@
 """The registered queries of the core engine and their SQL."""
 
-QUERIES = {}
-ORACLE_SQL = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from rostra.functions import numeric, text
+from rostra.operators import derived, distribution, profiles, scoring, stats
+from rostra.schema import DIMS6, M7
+from rostra.sources.testdata import SCORED_SQL, scored, table
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+FROM = f"with scored as ({SCORED_SQL})"
+
+
+def r2(x: str) -> str:
+    return f"round_even({x} * 100, 0) / 100 + 0.0::double"
+
+
+MEANS = ", ".join(f"{r2(f'avg({m})')} as {m}" for m in M7)
+RAW = ", ".join(f"avg({m}) as {m}" for m in M7)
+ROUND = ", ".join(f"{r2(m)} as {m}" for m in M7)
+TOP = "order by final_score desc nulls last, n desc, leader_name, iso3"
+LEADER = "leader_name, leader_short, iso3, country"
+CHOSEN_LEADERS = "|".join(f"Customer#{k:09d}" for k in range(1, 41))
+
+
+def query(sql: str | None = None, fact: bool = True):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = f"{FROM} {sql}" if fact else sql
+        return f
+
+    return add
+
+
+def sub(where: str, keys: str, extra: str = "") -> str:
+    return f"select {keys}, count(final_score) as n, {MEANS} from scored where {where} {extra} group by {keys}"
+
+
+# ---- profiles -------------------------------------------------------------------------------------------------------
+
+
+@query(sub("true", "iso3, country"))
+def country_profile(spark, sf_dir):
+    return profiles.countries(scored(spark, sf_dir))
+
+
+@query(sub("dtype = '1-URGENT'", "iso3, country"))
+def country_profile_by_dtype(spark, sf_dir):
+    return profiles.countries(scored(spark, sf_dir), "1-URGENT")
+
+
+@query(f"select {LEADER}, n, {ROUND} from (select {LEADER}, count(final_score) as n, {RAW} from scored group by {LEADER} {TOP} limit 25)")
+def leader_profile_topn(spark, sf_dir):
+    return profiles.leaders(scored(spark, sf_dir))
+
+
+@query(f"select {LEADER}, n, {ROUND} from (select {LEADER}, count(final_score) as n, {RAW} from scored where iso3 = 'N03' and dtype = '2-HIGH' group by {LEADER} {TOP} limit 10)")
+def leader_profile_country(spark, sf_dir):
+    return profiles.leaders(scored(spark, sf_dir), "N03", 10, "2-HIGH")
+
+
+@query(sub("true", LEADER))
+def leader_profile_all(spark, sf_dir):
+    return numeric.round_frame(profiles.leader_profile(scored(spark, sf_dir)))
+
+
+@query(sub("true", "year"))
+def yearly_global(spark, sf_dir):
+    return profiles.yearly_global(scored(spark, sf_dir))
+
+
+@query(f"select iso3, country, year, {r2('avg(anti_elitism)')} as score from scored where iso3 in ('N01', 'N02', 'N21') and dtype = '5-LOW' group by all")
+def yearly_country_dim(spark, sf_dir):
+    return profiles.yearly(scored(spark, sf_dir), " N01, N02 ,,N21", "anti_elitism", "5-LOW")
+
+
+@query(f"select iso3, country, year, {r2('avg(final_score)')} as score from scored group by all")
+def yearly_country_all(spark, sf_dir):
+    return profiles.yearly(scored(spark, sf_dir), " , ", "no such measure")
+
+
+@query(f"select leader_name, leader_short, year, {r2('avg(final_score)')} as final_score from scored where leader_name in (select unnest(string_split('{CHOSEN_LEADERS}', '|'))) group by all")
+def leader_trend(spark, sf_dir):
+    return profiles.leader_trend(scored(spark, sf_dir), CHOSEN_LEADERS)
+
+
+@query("select dtype, count(final_score) as n from scored group by dtype")
+def dtype_counts(spark, sf_dir):
+    return profiles.dtypes(scored(spark, sf_dir))
+
+
+@query("select dtype, count(final_score) as n from scored group by dtype union all select 'ALL', count(final_score) from scored")
+def dtype_counts_total(spark, sf_dir):
+    return profiles.dtypes_with_total(scored(spark, sf_dir))
+
+
+# ---- statistics and distributions ------------------------------------------------------------------------------------
+
+TOPS = (
+    "(select country from (select iso3, country, avg(final_score) as s from scored {w} group by all order by s desc, iso3 limit 1)) as top_country_name, "
+    "(select round_even(s * 10, 0) / 10 from (select iso3, country, avg(final_score) as s from scored {w} group by all order by s desc, iso3 limit 1)) as top_country_score, "
+    "(select leader_short from (select leader_name, leader_short, iso3, country, count(final_score) as n, avg(final_score) as s from scored {w} group by all order by s desc, n desc, leader_name, iso3 limit 1)) as top_leader_name, "
+    "(select round_even(s * 10, 0) / 10 from (select leader_name, leader_short, iso3, country, count(final_score) as n, avg(final_score) as s from scored {w} group by all order by s desc, n desc, leader_name, iso3 limit 1)) as top_leader_score"
+)
+TOTALS = "count(*) as n_discourses, count(distinct iso3) as n_countries, count(distinct leader_name) as n_leaders, min(year) as year_min, max(year) as year_max, " + f"{r2('avg(final_score)')} as avg_score, " + ", ".join(f"{r2(f'avg({d})')} as {d}" for d in DIMS6)
+
+
+@query(f"select {TOTALS}, {TOPS.format(w='')} from scored")
+def global_stats(spark, sf_dir):
+    return stats.flat(scored(spark, sf_dir))
+
+
+@query(f"select {TOTALS}, {TOPS.format(w=chr(119) + 'here dtype = ' + repr('2-HIGH'))} from scored where dtype = '2-HIGH'")
+def global_stats_by_dtype(spark, sf_dir):
+    return stats.flat(scored(spark, sf_dir), "2-HIGH")
+
+
+def five(column: str, keys: str, where: str) -> str:
+    q = ", ".join(f"{r2(f'quantile_cont({column}, {p})')} as {k}" for k, p in (("q1", 0.25), ("median", 0.5), ("q3", 0.75)))
+    return f"select {keys}, {r2(f'min({column})')} as min, {q}, {r2(f'max({column})')} as max, {r2(f'avg({column})')} as mean, count({column}) as n from scored where {where} group by all having count({column}) >= 5"
+
+
+@query(five("anti_elitism", 'country as "group"', "year between 1995 and 2001"))
+def distribution_country(spark, sf_dir):
+    return distribution.distribution(scored(spark, sf_dir), "anti_elitism", "country", 1995, 2001)
+
+
+@query(five("final_score", 'dtype as "group"', "year between 2000 and 2025"))
+def distribution_dtype(spark, sf_dir):
+    return distribution.distribution(scored(spark, sf_dir), "?", "?")
+
+
+@query(five("anti_elitism", "leader_name, year", "true"))
+def distribution_having(spark, sf_dir):
+    return numeric.round_frame(distribution.summary(scored(spark, sf_dir), ["leader_name", "year"], "anti_elitism"))
+
+
+@query(f"""select "group", mean, (q3 - q1) / 2 as half_iqr, n from ({five('final_score', 'country as "group"', 'year between 1995 and 2001')}) order by mean desc, "group" limit 25""")
+def distribution_bars(spark, sf_dir):
+    return distribution.bars(scored(spark, sf_dir), dim="final_score", year_min=1995, year_max=2001)
+
+
+# ---- derived ---------------------------------------------------------------------------------------------------------
+
+COUNTRY_RAW = f"select iso3, country, count(final_score) as n, {RAW} from scored group by iso3, country"
+
+
+@query(f"select iso3, country, cast(row_number() over (order by final_score desc, iso3) as int) as rank, {r2('final_score')} as final_score from ({COUNTRY_RAW})")
+def country_rank(spark, sf_dir):
+    found = derived.ranked(profiles.profile(scored(spark, sf_dir), ["iso3", "country"]), ["iso3"])
+    return numeric.round_frame(found.select("iso3", "country", "rank", "final_score"))
+
+
+@query(f"select leader_name, iso3, rank, case rank when 1 then 'gold' when 2 then 'silver' when 3 then 'bronze' end as medal, {r2('final_score')} as final_score from (select *, cast(row_number() over ({TOP}) as int) as rank from (select {LEADER}, count(final_score) as n, {RAW} from scored group by {LEADER} {TOP} limit 25))")
+def leader_rank_medal(spark, sf_dir):
+    keys = ["leader_name", "leader_short", "iso3", "country"]
+    top = profiles.profile(scored(spark, sf_dir), keys).orderBy(F.desc_nulls_last("final_score"), F.desc("n"), "leader_name", "iso3").limit(25)
+    found = derived.medals(derived.ranked(top, [F.desc("n"), F.col("leader_name"), F.col("iso3")]))
+    return numeric.round_frame(found.select("leader_name", "iso3", "rank", "medal", "final_score"))
+
+
+@query(f"select place, iso3, country, {r2('final_score')} as final_score from ((select 'top' as place, * from ({COUNTRY_RAW}) order by final_score desc, iso3 limit 1) union all (select 'bottom' as place, * from ({COUNTRY_RAW}) order by final_score, iso3 desc limit 1))")
+def hero_top_bottom(spark, sf_dir):
+    return numeric.round_frame(derived.extremes(profiles.profile(scored(spark, sf_dir), ["iso3", "country"])))
+
+
+@query(f"select iso3, country, first, last, {r2('(last - first)')} as delta from (select iso3, country, arg_min(score, year) as first, arg_max(score, year) as last from (select iso3, country, year, {r2('avg(final_score)')} as score from scored group by all) group by all)")
+def movers(spark, sf_dir):
+    return derived.movers(scored(spark, sf_dir))
+
+
+def long(source: str, ids: str) -> str:
+    return " union all ".join(f"select {ids}, '{d}' as dim, {d} as value, {i} as place from ({source})" for i, d in enumerate(DIMS6, 1))
+
+
+@query(long(sub("true", "iso3, country"), "iso3, country"))
+def radar_long(spark, sf_dir):
+    return derived.long_form(profiles.countries(scored(spark, sf_dir)), ["iso3", "country"])
+
+
+RADAR3 = sub("country in (select unnest(['NATION_3', 'NATION_5', 'NATION_7']))", "iso3, country")
+
+
+@query(f"{long(RADAR3, 'country')} union all select country, '{DIMS6[0]}', {DIMS6[0]}, 7 from ({RADAR3})")
+def radar_chosen_closed(spark, sf_dir):
+    some = derived.chosen(profiles.countries(scored(spark, sf_dir)), "NATION_5|NATION_3| NATION_7 |NOWHERE")
+    return derived.long_form(some, ["country"], closed=True)
+
+
+@query(long(f"select {LEADER}, n, {ROUND} from (select {LEADER}, count(final_score) as n, {RAW} from scored group by {LEADER} {TOP} limit 25)", "leader_name, iso3"))
+def leader_radar_long(spark, sf_dir):
+    return derived.long_form(profiles.leaders(scored(spark, sf_dir)), ["leader_name", "iso3"])
+
+
+LABELS = "case dim when 'people_centrism' then 'Povo-Centrismo' when 'anti_elitism' then 'Anti-Elitismo' when 'moral_dichotomy' then 'Dicotomia Moral' when 'popular_sovereignty' then 'Soberania Popular' when 'exclusionary_rhetoric' then 'Retórica Excludente' else 'Retórica de Crise' end"
+
+
+@query(f"select year, dim, {LABELS} as label, value from ({long(sub('true', 'year'), 'year')})")
+def dimension_labels(spark, sf_dir):
+    return derived.labelled_dimensions(derived.long_form(profiles.yearly_global(scored(spark, sf_dir)), ["year"]), "pt").select("year", "dim", "label", "value")
+
+
+COUNTRY = sub("true", "iso3, country")
+
+
+@query(f"select country, exclusionary_rhetoric as value from ({COUNTRY})")
+def dimension_bars(spark, sf_dir):
+    return derived.by_one_dimension(profiles.countries(scored(spark, sf_dir)), "exclusionary_rhetoric")
+
+
+@query(f"select year, crisis_rhetoric as value from ({sub('true', 'year')})")
+def global_trend(spark, sf_dir):
+    return derived.trend(profiles.yearly_global(scored(spark, sf_dir)), "crisis_rhetoric")
+
+
+SCATTER = f"select iso3, country, people_centrism as x, anti_elitism as y, final_score * 0.12::double + 9 as size from ({COUNTRY})"
+
+
+@query(SCATTER)
+def scatter_points(spark, sf_dir):
+    return derived.scatter(profiles.countries(scored(spark, sf_dir)), "people_centrism", "anti_elitism")
+
+
+@query(f", points as ({SCATTER}) select * from points where iso3 in ((select iso3 from points order by x desc, size desc, iso3 limit 3) union (select iso3 from points order by x, size, iso3 limit 2) union (select iso3 from points order by y desc, size desc, iso3 limit 2))")
+def scatter_outliers(spark, sf_dir):
+    return derived.outliers(profiles.countries(scored(spark, sf_dir)), "people_centrism", "anti_elitism")
+
+
+def channel(s: str, k: int) -> str:
+    from rostra.schema import STOPS_DARK as stops
+
+    arms = "".join(f"when {s} <= {b[0]} then cast(floor({a[k + 1]}.0::double + ({s} - {a[0]}.0::double) / {b[0] - a[0]}.0::double * {b[k + 1] - a[k + 1]}.0::double + 0.5::double) as int) " for a, b in zip(stops, stops[1:]))
+    return f"case {arms}end"
+
+
+@query(f"select leader_name, year, concat('rgb(', {channel('s', 0)}, ',', {channel('s', 1)}, ',', {channel('s', 2)}, ')') as color from (select leader_name, year, greatest(0, least(100, coalesce({r2('avg(anti_elitism)')}, 0))) as s from scored group by all)")
+def score_color(spark, sf_dir):
+    means = scored(spark, sf_dir).groupBy("leader_name", "year").agg(numeric.r2(F.avg("anti_elitism")).alias("s"))
+    return means.select("leader_name", "year", numeric.score_rgb(F.col("s")).alias("color"))
+
+
+@query("select discourse_id, count(*) as n, max(case when final_score < 30 then 'Low' when final_score < 50 then 'Moderate' when final_score < 65 then 'High' else 'Very High' end) as band from scored group by discourse_id")
+def score_band(spark, sf_dir):
+    return scored(spark, sf_dir).groupBy("discourse_id").agg(F.count(F.lit(1)).alias("n"), F.max(numeric.score_band(F.col("final_score"))).alias("band"))
+
+
+CODES = "['BRA', 'ARG', 'CHL', 'MEX', 'PER', 'COL', 'VEN', 'BOL']"
+PLACES = "(values ('BRA', -14, -51), ('ARG', -34, -64), ('CHL', -35, -71), ('MEX', 23, -102), ('PER', -10, -76), ('COL', 4, -72), ('VEN', 7, -66)) as t(code, la, lo)"
+
+
+@query(f"select code as iso3, country, final_score, la::double as lat, lo::double as lon, concat('rgb(', {channel('final_score', 0)}, ',', {channel('final_score', 1)}, ',', {channel('final_score', 2)}, ')') as color from ({COUNTRY}) join {PLACES} on code = case when iso3 < 'N07' then {CODES}[cast(substr(iso3, 2) as int) + 1] else iso3 end")
+def map_points(spark, sf_dir):
+    """Seven nations play countries that have a place on the map; the others have none and are left out."""
+    codes = F.array(*[F.lit(c) for c in ("BRA", "ARG", "CHL", "MEX", "PER", "COL", "VEN")])
+    known = F.when(F.col("iso3") < "N07", F.element_at(codes, F.substring("iso3", 2, 2).cast("int") + 1)).otherwise(F.col("iso3"))
+    return derived.map_points(profiles.countries(scored(spark, sf_dir)).withColumn("iso3", known))
+
+
+# ---- sources, SQL, text ----------------------------------------------------------------------------------------------
+
+
+@query("select iso3, leader_name, year, dtype, count(*) as n, " + ", ".join(f"{r2(f'sum({m})')} as {m}" for m in ("final_score", "crisis_rhetoric")) + " from scored group by all")
+def inner_join_scores(spark, sf_dir):
+    sums = [numeric.r2(F.sum(m)).alias(m) for m in ("final_score", "crisis_rhetoric")]
+    return scored(spark, sf_dir).groupBy("iso3", "leader_name", "year", "dtype").agg(F.count(F.lit(1)).alias("n"), *sums)
+
+
+@query("select distinct iso3, country from scored")
+def country_label_fallback(spark, sf_dir):
+    return scored(spark, sf_dir).select("iso3", "country").distinct()
+
+
+@query(f"select iso3, {r2('avg(final_score)')} as avg_score, count(*) as n from scored where final_score is not null group by iso3")
+def sql_adhoc_avg(spark, sf_dir):
+    return spark.sql("select iso3, rint(avg(final_score) * 100) / 100 as avg_score, count(*) as n from {fact} where final_score is not null group by iso3 order by avg_score desc", fact=scored(spark, sf_dir))
+
+
+@query("select nullif(iso3, 'N05') as iso3, count(final_score) as n from scored where iso3 <> 'N05' group by all")
+def dropna_groups(spark, sf_dir):
+    some = scored(spark, sf_dir).withColumn("iso3", F.nullif(F.col("iso3"), F.lit("N05")))
+    return some.dropna(subset=["iso3"]).groupBy("iso3").agg(F.count("final_score").alias("n"))
+
+
+WORDS = r"list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '')"
+
+
+@query(f"select doc_id, cast(len({WORDS}) as int) as word_count from documents", fact=False)
+def doc_word_count(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", text.word_count("text").alias("word_count"))
+
+
+@query(
+    f"with w as (select doc_id, {WORDS} as words from documents), c as (select doc_id, words, unnest(range(0, cast(ceil(len(words) / 200.0) as int))) as chunk from w) "
+    "select doc_id, cast(chunk as int) as chunk, cast(len(words[chunk * 200 + 1:chunk * 200 + 200]) as int) as n_words, md5(array_to_string(words[chunk * 200 + 1:chunk * 200 + 200], ' ')) as digest from c",
+    fact=False,
+)
+def doc_chunks(spark, sf_dir):
+    return scoring.chunked(table(spark, sf_dir, "documents")).select("doc_id", "chunk", "n_words", F.md5("text").alias("digest"))
+
+
+@query()
+def doc_scores(spark, sf_dir):
+    """The whole text pipeline with the stand-in scorer."""
+    rows = scoring.chunked(table(spark, sf_dir, "documents"))
+    return numeric.round_frame(scoring.combined(scoring.scored_chunks(rows, scoring.marker_scorer)))

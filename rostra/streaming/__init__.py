@@ -1,0 +1 @@
+"""Every query of this engine is a batch query: facts are loaded whole, and no query has a watermark or state."""
