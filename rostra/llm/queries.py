@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rostra.llm import avi, mixing, packing, sharding, simhash
+from rostra.llm import avi, hnsw, mixing, packing, sharding, simhash
 from rostra.llm import toxicity as tox
 from rostra.llm.common import table
 from rostra.llm.licenses import licenses
@@ -108,3 +108,8 @@ def op7_label_propagation_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_simhash_pigeonring(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return out.select("doc_id", simhash.as_hex().alias("fingerprint"), "component_id")
+
+
+@query
+def op9_hnsw_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hnsw.search_all(table(spark, sf_dir, "embeddings"))
