@@ -13,6 +13,7 @@ doc_id is a key like any other; empty tables give empty results; other columns a
 from __future__ import annotations
 
 import itertools
+import os
 import zlib
 from collections.abc import Iterator
 from functools import cache
@@ -38,6 +39,18 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+class _Numbered(dict):
+    """Numbers words in the order in which they are first looked up, and lists the new ones."""
+
+    def __init__(self) -> None:
+        self.fresh: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> int:
+        k = self[word] = len(self)
+        self.fresh.append(word)
+        return k
+
+
 class Words:
     """Token ids of texts through a cache of their words.
 
@@ -46,62 +59,60 @@ class Words:
     """
 
     def __init__(self, path: str, keep: int = KEPT):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; waiting threads would only spin
         from tokenizers import Tokenizer
 
         self.of, self.keep = Tokenizer.from_file(path), keep
         self.clear()
 
     def clear(self) -> None:
-        self.place: dict[bytes, int] = {}
-        self.ids = np.zeros(1 << 16, np.uint32)
-        self.used = 0
-        self.start: list[int] = []
-        self.count: list[int] = []
-
-    def _add(self, words: list[bytes]) -> None:
-        encoded = self.of.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
-        for w, e in zip(words, encoded, strict=True):
-            self._put(w, e.ids)
-
-    def _put(self, word: bytes, ids: list[int]) -> None:
-        n = len(ids)
-        while self.used + n > len(self.ids):
+        self.number = _Numbered()
+        self.ids, self.used = np.zeros(1 << 20, np.uint32), 0
+        self.start, self.count = np.zeros(1 << 18, np.int64), np.zeros(1 << 18, np.int64)
+
+    def _keep(self, words: np.ndarray, ids: np.ndarray, count: np.ndarray) -> None:
+        while self.used + len(ids) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros(len(self.ids), np.uint32)])
-        self.ids[self.used : self.used + n] = ids
-        self.place[word] = len(self.start)
-        self.start.append(self.used)
-        self.count.append(n)
-        self.used += n
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.start[words] = self.used + np.cumsum(count) - count
+        self.count[words] = count
+        self.used += len(ids)
+
+    def _gather(self, words: np.ndarray) -> np.ndarray:
+        n = self.count[words]
+        ends = np.cumsum(n)
+        return self.ids[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.start[words] - ends + n, n)]
+
+    def _learn(self) -> None:
+        """Give ids to the words that were looked up for the first time."""
+        number, whole, split, parts = self.number, [], [], []
+        for w in number.fresh:  # grows by the parts, which come after
+            if len(w) > 1 and w[-1] in b".," and 97 <= w[-2] <= 122:
+                split.append(number[w])
+                parts += (number[w[:-1]], number[w[-1:]])
+            else:
+                whole.append(w)
+        number.fresh = []
+        while len(number) > len(self.start):
+            self.start, self.count = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.count))
+        for at in range(0, len(whole), 10_000):
+            some = whole[at : at + 10_000]
+            ids = [e.ids for e in self.of.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)]
+            count = np.fromiter(map(len, ids), np.int64, len(ids))
+            self._keep(np.fromiter(map(number.__getitem__, some), np.int64, len(some)), np.fromiter(itertools.chain.from_iterable(ids), np.uint32, int(count.sum())), count)
+        if split:
+            k = np.array(parts)
+            self._keep(np.array(split), self._gather(k), self.count[k].reshape(-1, 2).sum(1))
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         """The ids of each text."""
-        if len(self.place) > self.keep:
+        if len(self.number) > self.keep:
             self.clear()
+        look = self.number.__getitem__
         split = [t.lower().replace(b"\n", b" ").split(b" ") for t in texts]
-        missing = {w for ws in split for w in ws if w not in self.place}
-        if missing:
-            stems = {w: (w[:-1], w[-1:]) for w in missing if len(w) > 1 and w[-1] in b".," and 97 <= w[-2] <= 122}
-            parts = {p for pair in stems.values() for p in pair}
-            fresh = sorted({p for p in parts | (missing - stems.keys()) if p not in self.place})
-            for at in range(0, len(fresh), 20_000):
-                self._add(fresh[at : at + 20_000])
-            for w, pair in sorted(stems.items()):
-                ids = np.concatenate([self._ids(p) for p in pair])
-                self._put(w, ids)
-        start, count = np.array(self.start, np.int64), np.array(self.count, np.int64)
-        out = []
-        get = self.place.__getitem__
-        for ws in split:
-            k = np.fromiter(map(get, ws), np.int64, len(ws))
-            n = count[k]
-            ends = np.cumsum(n)
-            at = np.arange(ends[-1]) + np.repeat(start[k] - ends + n, n)
-            out.append(self.ids[at])
-        return out
-
-    def _ids(self, word: bytes) -> np.ndarray:
-        k = self.place[word]
-        return self.ids[self.start[k] : self.start[k] + self.count[k]]
+        numbers = [np.fromiter(map(look, ws), np.int64, len(ws)) for ws in split]
+        self._learn()
+        return [self._gather(k) for k in numbers]
 
 
 @cache
