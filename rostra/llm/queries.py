@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rostra.llm import avi, hnsw, mixing, packing, sharding, simhash
+from rostra.llm import avi, hnsw, kneser_ney, mixing, packing, sharding, simhash
 from rostra.llm import toxicity as tox
 from rostra.llm.common import table
 from rostra.llm.licenses import licenses
@@ -113,3 +113,9 @@ def op10_simhash_pigeonring(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_hnsw_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hnsw.search_all(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op5_kneser_ney_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = kneser_ney.classified(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return out.select("doc_id", "lang", F.exp("log_ppl").alias("perplexity"), F.exp("high").alias("threshold"), "kept")
