@@ -15,11 +15,18 @@ that value, and each is linked with the smallest that reaches it within 1 bit.
 Defined cases: a null or empty text has no words and the fingerprint 0; fewer words than a shingle make one shingle;
 repeated rows are linked; a null doc_id takes part but never names a component (which then is null if it has no other);
 an empty table gives an empty result; other columns are ignored.
+
+``deduplicate`` keeps one document of each group of copies and near copies, those whose sets of five-word shingles
+have a Jaccard similarity of 0.8 or more.  Such texts differ in more bits than 3 of one 64-bit fingerprint of shingles,
+so it draws several independent fingerprints of the words, takes pairs that the pigeonring search links in any of them
+as candidates, and checks each on the shingles by bottom-k sketches (exact up to 256 shingles; beyond, a standard error
+of 0.025 at 0.8).
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -93,25 +100,30 @@ def chained(x: np.ndarray, segment: int, differ: int = DIFFER) -> np.ndarray:
 
 
 def forest(fps: np.ndarray, segment: int) -> list[tuple[int, int]]:
-    """Of the fingerprints of one key, a pair (member, smallest) for each that is linked, directly or not, to a smaller."""
+    """A spanning forest of the links among the fingerprints of one key: pairs that pass every chain, larger first."""
     v = np.sort(fps).astype(np.int64)
     u = v.view(np.uint64)
     rows, cols = [], []
     for at in range(0, len(u), 512):
         i, j = np.nonzero(chained(u[at : at + 512, None] ^ u[None, :], segment))
-        keep = i + at != j
+        keep = i + at > j
         rows.append(i[keep] + at)
         cols.append(j[keep])
     a, b = np.concatenate(rows), np.concatenate(cols)
-    label = np.arange(len(u))
+    label, out = np.arange(len(u)), []
     while len(a):
-        new = label.copy()
-        np.minimum.at(new, a, label[b])
-        new = new[new]
-        if (new == label).all():
-            break
-        label = new
-    return [(int(v[k]), int(v[r])) for k, r in enumerate(label) if r != k]
+        x, y = label[a], label[b]
+        apart = x != y
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        # every tree that has a link to one with a smaller root joins it, by one of its links
+        tree, first = np.unique(np.maximum(x, y), return_index=True)
+        out += [(int(v[i]), int(v[j])) for i, j in zip(a[first], b[first], strict=True)]
+        parent = np.arange(len(u))
+        parent[tree] = np.minimum(x, y)[first]
+        while (parent[parent] != parent).any():
+            parent = parent[parent]
+        label = parent[label]
+    return out
 
 
 def _within_keys(keyed: DataFrame) -> DataFrame:
@@ -119,10 +131,10 @@ def _within_keys(keyed: DataFrame) -> DataFrame:
         for batch in batches:
             out = []
             for key, fps in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                out += forest(fps.values.to_numpy(), key >> 34)
-            yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in out], pa.int64()), pa.array([p[1] for p in out], pa.int64())], ["u", "v"])
+                out += [(key >> 40, *pair) for pair in forest(fps.values.to_numpy(), key >> 34 & 3)]
+            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.int64()) for k in range(3)], ["tag", "u", "v"])
 
-    return keyed.mapInArrow(linked, "u long, v long")
+    return keyed.mapInArrow(linked, "tag long, u long, v long")
 
 
 def _masks(bits: int) -> list[int]:
@@ -133,20 +145,21 @@ def _masks(bits: int) -> list[int]:
 def _by_meeting(fps: DataFrame) -> DataFrame:
     """Links among fingerprints by the values within 2 bits of each: exact, and linear in their number."""
     masks = F.array(*[F.struct(F.lit(m).cast("long").alias("m"), F.lit(r < 2).alias("near")) for r in (0, 1, 2) for m in _masks(r)])
-    reach = fps.select("fp", F.explode(masks).alias("mask")).select("fp", F.col("fp").bitwiseXOR(F.col("mask.m")).alias("at"), F.col("mask.near").alias("near"))
+    reach = fps.select("tag", "fp", F.explode(masks).alias("mask")).select("tag", "fp", F.col("fp").bitwiseXOR(F.col("mask.m")).alias("at"), F.col("mask.near").alias("near"))
     # Per value the smallest near one, and whether another reaches it: sums that tasks form before they shuffle.
-    met = reach.groupBy("at").agg(F.min(F.when(F.col("near"), F.col("fp"))).alias("to"), F.max("fp").alias("most"), F.min("fp").alias("least"))
-    met = met.where("to is not null and most <> least").withColumnRenamed("at", "__at")
-    return reach.join(met, F.col("at") == F.col("__at")).where("fp <> to").select(F.col("fp").alias("u"), F.col("to").alias("v")).distinct()
+    met = reach.groupBy("tag", "at").agg(F.min(F.when(F.col("near"), F.col("fp"))).alias("to"), F.max("fp").alias("most"), F.min("fp").alias("least"))
+    met = met.where("to is not null and most <> least").withColumnsRenamed({"at": "__at", "tag": "__tag"})
+    return reach.join(met, (F.col("at") == F.col("__at")) & (F.col("tag") == F.col("__tag"))).where("fp <> to").select("tag", F.col("fp").alias("u"), F.col("to").alias("v")).distinct()
 
 
 def links(fps: DataFrame, hot: int = HOT) -> DataFrame:
-    """u, v: links enough to connect all distinct values of fp that chains of links within 3 bits connect."""
-    keyed = fps.select("fp", F.explode(_keys(F.col("fp"))).alias("key"))
+    """tag, u, v: links within 3 bits, enough to connect all distinct values of fp, of one tag, that chains of links connect."""
+    key = F.explode(F.transform(_keys(F.col("fp")), lambda k: F.shiftleft("tag", 40).bitwiseOR(k)))
+    keyed = fps.select("tag", "fp", key.alias("key"))
     sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").withColumnRenamed("key", "__key")
-    shared = stored(keyed.join(sizes, F.col("key") == F.col("__key")).select("key", "fp", "n"), "simhash-keys")
+    shared = stored(keyed.join(sizes, F.col("key") == F.col("__key")).select("key", "tag", "fp", "n"), "simhash-keys")
     few = shared.where(F.col("n") <= hot).groupBy("key").agg(F.collect_list("fp").alias("fps"))
-    many = shared.where(F.col("n") > hot).select("fp").distinct()
+    many = shared.where(F.col("n") > hot).select("tag", "fp").distinct()
     return _within_keys(few).unionByName(_by_meeting(many))
 
 
@@ -154,7 +167,7 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, hot: int = HOT) -> Da
     """doc_id, fp and component_id (the smallest doc_id reachable through links) of every document."""
     rows = stored(fingerprints(docs, width), "simhash")
     nodes = rows.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    linked = components(links(nodes.select("fp"), hot))
+    linked = components(links(nodes.select(F.lit(0).cast("long").alias("tag"), "fp"), hot).select("u", "v"))
     rooted = nodes.join(linked, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     rooted = stored(rooted, "simhash-roots")
     named = rooted.groupBy(F.col("root").alias("__root")).agg(F.min("first").alias("component_id"))
@@ -164,3 +177,109 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, hot: int = HOT) -> Da
 
 def as_hex(fp: str = "fp") -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
+
+
+# ---- one document of each group ----------------------------------------------------------------------------------------
+
+DRAWS = 6
+SIMILAR = 0.8
+WORDS_OF_A_SHINGLE = 5
+SKETCH = 256
+#: Up to so many rows that go are broadcast (24 bytes each); beyond it, they are joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
+_DRAWN = np.array([(0x9E3779B97F4A7C15 * (2 * t + 1)) % (1 << 64) for t in range(DRAWS)], dtype=np.uint64)
+
+
+def drawn(text: bytes | None) -> list[int]:
+    """DRAWS fingerprints of a text's words, each word with the weight 1 + log2(its count)."""
+    count = Counter((text or b"").lower().split())
+    if not count:
+        return [0] * DRAWS
+    h = np.frombuffer(b"".join([xxhash.xxh64_digest(w, SEED) for w in count]), ">u8").astype(np.uint64)
+    weight = 1 + np.log2(np.fromiter(count.values(), np.float64, len(count)))
+    out = []
+    for c in _DRAWN:
+        x = (h ^ (h >> np.uint64(31))) * c
+        x ^= x >> np.uint64(29)
+        bits = np.unpackbits(x.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+        out.append(int(np.packbits(2 * (weight @ bits) > weight.sum()).view(">i8")[0]))
+    return out
+
+
+def sketch(text: bytes | None, width: int = WORDS_OF_A_SHINGLE, size: int = SKETCH) -> np.ndarray:
+    """The ``size`` smallest hashes of a text's set of shingles, in order."""
+    words = (text or b"").lower().split()
+    shingles = {b" ".join(words[i : i + width]) for i in range(max(1, len(words) - width + 1))}
+    h = np.frombuffer(b"".join([xxhash.xxh64_digest(s, SEED) for s in shingles]), ">i8").astype(np.int64)
+    return np.sort(h)[:size]
+
+
+def similarity(a: np.ndarray, b: np.ndarray, size: int = SKETCH) -> float:
+    """Jaccard similarity of two sets from their sketches."""
+    union = np.union1d(a, b)
+    union = union[:size] if max(len(a), len(b)) >= size else union
+    return len(np.intersect1d(np.intersect1d(a, b, True), union, True)) / max(1, len(union))
+
+
+def _mapped(df: DataFrame, f: Callable, schema: str) -> DataFrame:
+    """Apply f to each row's bytes in the last column; other columns stay."""
+    names = df.columns[:-1]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values = [f(t.as_py()) for t in batch.column(len(names)).cast(pa.binary())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(values, pa.list_(pa.int64()))], [*names, "value"])
+
+    return df.mapInArrow(run, ", ".join([*(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in names), schema]))
+
+
+def text_node() -> Column:
+    """A text's number: equal for equal texts."""
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
+def similar(docs: DataFrame, least: float = SIMILAR, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, node) of docs, and links (u, v) of nodes whose texts are similar, enough to connect their groups."""
+    rows = stored(_mapped(docs.select("doc_id", text_node().alias("node"), "text"), drawn, "fps array<long>"), "drawn")
+    nodes = rows.groupBy("node").agg(F.first("fps").alias("fps"))
+    each = nodes.select("node", F.posexplode("fps").alias("tag", "fp")).withColumn("tag", F.col("tag").cast("long"))
+    named = stored(each.groupBy("tag", "fp").agg(F.min("node").alias("name")), "drawn-names")
+    n1, n2 = (named.select(F.col("tag").alias(f"t{k}"), F.col("fp").alias(f"f{k}"), F.col("name").alias(x)) for k, x in ((1, "u"), (2, "v")))
+    alike = each.join(n1, (F.col("tag") == F.col("t1")) & (F.col("fp") == F.col("f1"))).select(F.col("node").alias("v"), "u")
+    near = links(named.select("tag", "fp"), hot).select("tag", F.col("u").alias("a"), F.col("v").alias("b"))
+    near = near.join(n1, (F.col("tag") == F.col("t1")) & (F.col("a") == F.col("f1"))).join(n2, (F.col("tag") == F.col("t2")) & (F.col("b") == F.col("f2")))
+    pairs = alike.select("u", "v").unionByName(near.select("u", "v")).where("u <> v")
+    pairs = stored(pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "drawn-pairs")
+    asked = stored(pairs.select(F.col("u").alias("__node")).unionByName(pairs.select(F.col("v").alias("__node"))).distinct(), "drawn-asked")
+    held = F.broadcast(asked) if asked.count() <= BROADCAST_ROWS else asked
+    texts = docs.select(text_node().alias("node"), "text").join(held, F.col("node") == F.col("__node"), "left_semi")
+    made = stored(_mapped(texts, lambda t: sketch(t).tolist(), "hashes array<long>").groupBy("node").agg(F.first("hashes").alias("hashes")), "drawn-sketches")
+    s1, s2 = (made.select(F.col("node").alias(f"n{k}"), F.col("hashes").alias(f"h{k}")) for k in (1, 2))
+    joined = pairs.join(s1, F.col("u") == F.col("n1")).join(s2, F.col("v") == F.col("n2")).select("u", "v", "h1", "h2")
+
+    def checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = batch.column(2), batch.column(3)
+            good = [similarity(a[i].values.to_numpy(), b[i].values.to_numpy()) >= least for i in range(batch.num_rows)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["u", "v"]).filter(pa.array(good, pa.bool_()))
+
+    return rows.select("doc_id", "node"), joined.mapInArrow(checked, "u long, v long")
+
+
+def deduplicate(docs: DataFrame, least: float = SIMILAR, hot: int = HOT) -> DataFrame:
+    """The rows of docs without those that repeat or nearly repeat another; of each group that with the smallest doc_id stays."""
+    rows, linked = similar(docs, least, hot)
+    roots = components(linked)
+    own = rows.groupBy("node", "doc_id").agg(F.count(F.lit(1)).alias("rows"))
+    own = stored(own.join(roots.withColumnRenamed("node", "__node"), F.col("node") == F.col("__node"), "left").select("node", "doc_id", "rows", F.coalesce("root", "node").alias("root")), "dedup")
+    first = own.groupBy(F.col("root").alias("__root")).agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "node")).alias("first"))
+    stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("node") == F.col("first.node"))
+    marked = own.join(first, F.col("root") == F.col("__root")).select(F.col("node").alias("__node"), F.col("doc_id").alias("__doc_id"), stays.alias("__stays"), "rows")
+    marked = stored(marked.where(~F.col("__stays") | (F.col("rows") > 1)).drop("rows"), "dedup-marked")
+    table = F.broadcast(marked) if marked.count() <= BROADCAST_ROWS else marked
+    columns = docs.columns
+    seen = docs.withColumn("__own", text_node()).join(table, (F.col("__own") == F.col("__node")) & F.col("doc_id").eqNullSafe(F.col("__doc_id")), "left")
+    out = seen.where("__stays is null").select(*columns)
+    if marked.where("__stays").take(1):  # of several equal rows with one id, one
+        out = out.unionByName(seen.where("__stays").dropDuplicates(["__own", "doc_id"]).select(*columns))
+    return out

@@ -65,8 +65,10 @@ def test_links_match_brute_force(spark, hot):
     values = {signed(near(b, k, rng)) for b in base for k in (0, 1, 2, 3, 3, 4, 4, 5, 6)} | {0, -1, 7, 15}
     from rostra.llm.components import components
 
-    fps = spark.createDataFrame([(v,) for v in values], "fp long")
-    got = {v: v for v in values} | {r.node: r.root for r in components(S.links(fps, hot)).collect()}
+    fps = spark.createDataFrame([(1, v) for v in values], "tag long, fp long")
+    found = S.links(fps, hot)
+    assert all(((r.u ^ r.v) % (1 << 64)).bit_count() <= 3 and r.tag == 1 for r in found.collect())
+    got = {v: v for v in values} | {r.node: r.root for r in components(found.select("u", "v")).collect()}
     assert got == brute_roots(values)
 
 
@@ -87,3 +89,36 @@ def test_documents(spark):
     assert got[9, want[9]] == got[2, want[2]] == 2 and got[7, 0] == got[8, 0] == got[None, 0] == 7 and got[4, want[4]] == 4
     assert got[None, brute_fingerprint("x")] is None
     assert S.near_duplicates(spark.createDataFrame(rows[:0], "doc_id long, text string, fp string")).count() == 0
+
+
+def jaccard(a, b):
+    sets = []
+    for t in (a, b):
+        w = t.lower().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))})
+    return len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+
+
+def test_one_document_of_each_group_stays(spark):
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 7)))
+    rows, base = [], {}
+    for i in range(60):
+        base[i] = [word() for _ in range(rng.choice([30, 120, 400]))]
+        rows.append((i, " ".join(base[i])))
+    near = []
+    for i in range(30):
+        w = list(base[i])
+        for _ in range(max(1, len(w) // 60)):
+            w[rng.randrange(len(w))] = word()
+        near.append((1000 + i, " ".join(w)))
+    cloud = [(2000 + k, " ".join([*base[59][:200], word(), *base[59][200:]])) for k in range(60)]
+    copies = [(3000 + i, "  " + " ".join(base[i]).upper()) for i in range(10)] + [(5, rows[5][1])] * 2 + [(None, rows[6][1]), (None, None), (None, None), (4000, "")]
+    docs = spark.createDataFrame([(*r, "x") for r in rows + near + cloud + copies], "doc_id long, text string, node string")
+    kept = [r.doc_id for r in S.deduplicate(docs).collect()]
+    assert len(kept) == len(set(kept)) and set(range(60)) <= set(kept)
+    extra = set(kept) - set(range(60)) - {None, 4000}
+    assert not {x for x in extra if x >= 2000}
+    similar = [i for i, t in near if jaccard(t, rows[i - 1000][1]) >= 0.8]
+    assert len(extra & set(similar)) <= 0.1 * len(similar)
+    assert S.deduplicate(docs.limit(0)).count() == 0 and S.deduplicate(docs).columns == docs.columns
