@@ -29,7 +29,7 @@ TOKENIZER = "word_bpe_49k.json"
 #: Documents that a block gets on average.
 BLOCK = 16_384
 #: Words whose ids a worker keeps; beyond it starts afresh.
-KEPT = 600_000
+KEPT = 1_000_000
 
 
 @cache
@@ -39,6 +39,9 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+_SYMBOLS = bytes(c for c in range(33, 127) if not chr(c).isalnum())
+
+
 class _Numbered(dict):
     """Numbers words in the order in which they are first looked up, and lists the new ones."""
 
@@ -54,8 +57,8 @@ class _Numbered(dict):
 class Words:
     """Token ids of texts through a cache of their words.
 
-    The tokenizer's pre-tokens never span white space, so a text's ids are its words' ids in order.  A word that ends
-    in one full stop or comma after a letter is two pre-tokens, so its two parts are looked up.
+    The tokenizer's pre-tokens never span white space, so a text's ids are its words' ids in order.  Between a letter
+    and the ASCII symbols that end a word is a border of pre-tokens, so the two parts are looked up.
     """
 
     def __init__(self, path: str, keep: int = KEPT):
@@ -87,9 +90,10 @@ class Words:
         """Give ids to the words that were looked up for the first time."""
         number, whole, split, parts = self.number, [], [], []
         for w in number.fresh:  # grows by the parts, which come after
-            if len(w) > 1 and w[-1] in b".," and 97 <= w[-2] <= 122:
+            stem = w.rstrip(_SYMBOLS)
+            if len(stem) < len(w) and stem and 97 <= stem[-1] <= 122 and b"<|" not in w:  # where special tokens begin
                 split.append(number[w])
-                parts += (number[w[:-1]], number[w[-1:]])
+                parts += (number[stem], number[w[len(stem) :]])
             else:
                 whole.append(w)
         number.fresh = []
@@ -106,7 +110,7 @@ class Words:
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         """The ids of each text."""
-        if len(self.number) > self.keep:
+        if len(self.number) > self.keep or self.used > 8 * self.keep:
             self.clear()
         look = self.number.__getitem__
         split = [t.lower().replace(b"\n", b" ").split(b" ") for t in texts]
