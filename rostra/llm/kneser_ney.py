@@ -11,9 +11,9 @@ computed for exactly what it holds: the probabilities of all symbols after any c
 ``limit=None`` nothing is left out, and the model is the textbook one.
 
 ``classified`` gives each document's log perplexity per symbol, and keeps it up to a fence of its language: the upper
-quartile of the trusted documents' values plus FENCE interquartile ranges, and further for short texts, whose means
-vary more.  Low values are never a fault: copies of trusted texts have them.  A language with no trusted document gets
-the fence of all languages.
+quartile of all its documents' values plus FENCE interquartile ranges, and further for short texts, whose means vary
+more.  (Trusted documents alone would not do: the model knows them, so their values are lower than those of other good
+texts.)  Low values are never a fault: copies of trusted texts have them.
 
 Defined cases: a null or empty text has no symbols, perplexity 1 and is not kept; null languages are one language;
 repeated rows count and are judged each; without trusted text every byte has probability 1/256 and nothing is rejected;
@@ -282,41 +282,25 @@ def only(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def fences(values: DataFrame, fence: float = FENCE) -> DataFrame:
-    """From lang and log_ppl of trusted documents: per language, and over all (__all), middle and high."""
+    """From lang and log_ppl of documents: lang, middle and high, the fence for long texts."""
     q = F.percentile_approx("log_ppl", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.lit(10_000))
-
-    def of(df: DataFrame, *keys: str) -> DataFrame:
-        spread = F.greatest(F.col("q")[2] - F.col("q")[0], F.lit(0.02))
-        out = df.groupBy(*keys).agg(q.alias("q")).where("q is not null")
-        return out.select(*keys, F.col("q")[1].alias("middle"), (F.col("q")[2] + spread * fence).alias("high"))
-
-    each = of(values, "lang").withColumn("__all", F.lit(False))
-    return each.unionByName(of(values).withColumn("lang", F.lit(None).cast("string")).withColumn("__all", F.lit(True)))
+    out = values.groupBy("lang").agg(q.alias("q"))
+    spread = F.greatest(F.col("q")[2] - F.col("q")[0], F.lit(0.02))
+    return out.select("lang", F.col("q")[1].alias("middle"), (F.col("q")[2] + spread * fence).alias("high"))
 
 
 def classified(docs: DataFrame, labels: DataFrame, order: int = ORDER, limit: int | None = LIMIT, keep: tuple[str, ...] = ("doc_id", "lang")) -> DataFrame:
     """The columns ``keep`` (doc_id and lang among them), n_symbols, log_ppl, high and kept of every document."""
-    ids = stored(trusted_ids(labels), "trusted")
-    model = fit(only(docs, ids).select("text"), order, limit)
-    if set(keep) <= {"doc_id", "lang"}:
-        values = stored(scored(docs, model, keep), "perplexity")
-        known = values
-    else:  # texts are not written: the fences come from a pass over the trusted documents alone
-        values = scored(docs, model, keep)
-        known = scored(only(docs, ids), model, ("doc_id", "lang"))
-    # Languages are as many as the corpus names: a few hundred at most, and each is a row of four numbers.
-    table = fences(only(known, ids).where("n_symbols > 0").select("lang", "log_ppl")).collect()  # a row for each language
-    return judged(values, table)
-
-
-def judged(values: DataFrame, table: list) -> DataFrame:
-    spark = values.sparkSession
-    rows = [(r["lang"], r["middle"], r["high"]) for r in table if not r["__all"]]
-    rest = next(((r["middle"], r["high"]) for r in table if r["__all"]), (0.0, float("inf")))
-    lang = spark.createDataFrame(rows, "__lang string, middle double, `__high` double")
-    joined = values.join(F.broadcast(lang), F.col("lang").eqNullSafe(F.col("__lang")), "left")
-    middle, high = (F.coalesce(F.col(c), F.lit(x)) for c, x in zip(("middle", "__high"), rest, strict=True))
+    model = fit(only(docs, stored(trusted_ids(labels), "trusted")).select("text"), order, limit)
+    values = stored(scored(docs, model, keep), "perplexity")
+    return judged(values, fences(values.where("n_symbols > 0").select("lang", "log_ppl")))
+
+
+def judged(values: DataFrame, table: DataFrame) -> DataFrame:
+    table = stored(table.withColumnsRenamed({"lang": "__lang", "high": "__high"}), "fences")
+    table = F.broadcast(table) if table.count() <= BROADCAST_IDS else table  # a row for each language
+    joined = values.join(table, F.col("lang").eqNullSafe(F.col("__lang")), "left")
     wide = 1 + F.sqrt(F.lit(float(SHORT)) / F.greatest(F.col("n_symbols"), F.lit(1)))
-    joined = joined.withColumn("high", middle + (high - middle) * wide)
+    joined = joined.withColumn("high", F.col("middle") + (F.col("__high") - F.col("middle")) * wide)
     kept = (F.col("n_symbols") > 0) & (F.col("log_ppl") <= F.col("high"))
-    return joined.withColumn("kept", kept).drop("__lang", "middle", "__high")
+    return joined.withColumn("kept", F.coalesce(kept, F.lit(False))).drop("__lang", "middle", "__high")
