@@ -144,8 +144,10 @@ def _masks(bits: int) -> list[int]:
 
 def _by_meeting(fps: DataFrame) -> DataFrame:
     """Links among fingerprints by the values within 2 bits of each: exact, and linear in their number."""
-    masks = F.array(*[F.struct(F.lit(m).cast("long").alias("m"), F.lit(r < 2).alias("near")) for r in (0, 1, 2) for m in _masks(r)])
-    reach = fps.select("tag", "fp", F.explode(masks).alias("mask")).select("tag", "fp", F.col("fp").bitwiseXOR(F.col("mask.m")).alias("at"), F.col("mask.near").alias("near"))
+    masks = [m for r in (0, 1, 2) for m in _masks(r)]
+    near = F.col("pos") < len(_masks(0)) + len(_masks(1))
+    listed = F.split(F.lit(",".join(map(str, masks))), ",").cast("array<long>")  # one constant, not 2,081 expressions
+    reach = fps.select("tag", "fp", F.posexplode(listed).alias("pos", "mask")).select("tag", "fp", F.col("fp").bitwiseXOR(F.col("mask")).alias("at"), near.alias("near"))
     # Per value the smallest near one, and whether another reaches it: sums that tasks form before they shuffle.
     met = reach.groupBy("tag", "at").agg(F.min(F.when(F.col("near"), F.col("fp"))).alias("to"), F.max("fp").alias("most"), F.min("fp").alias("least"))
     met = met.where("to is not null and most <> least").withColumnsRenamed({"at": "__at", "tag": "__tag"})
@@ -159,8 +161,9 @@ def links(fps: DataFrame, hot: int = HOT) -> DataFrame:
     sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").withColumnRenamed("key", "__key")
     shared = stored(keyed.join(sizes, F.col("key") == F.col("__key")).select("key", "tag", "fp", "n"), "simhash-keys")
     few = shared.where(F.col("n") <= hot).groupBy("key").agg(F.collect_list("fp").alias("fps"))
+    found = _within_keys(few)
     many = shared.where(F.col("n") > hot).select("tag", "fp").distinct()
-    return _within_keys(few).unionByName(_by_meeting(many))
+    return found.unionByName(_by_meeting(many)) if many.take(1) else found
 
 
 def near_duplicates(docs: DataFrame, width: int = SHINGLE, hot: int = HOT) -> DataFrame:
