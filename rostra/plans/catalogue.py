@@ -306,7 +306,15 @@ def doc_chunks(spark, sf_dir):
     return scoring.chunked(table(spark, sf_dir, "documents")).select("doc_id", "chunk", "n_words", F.md5("text").alias("digest"))
 
 
-@query()
+CHUNKS = f"w as (select doc_id, {WORDS} as words from documents), c as (select doc_id, words, unnest(range(0, cast(ceil(len(words) / 200.0) as int))) as chunk from w), k as (select doc_id, words[chunk * 200 + 1:chunk * 200 + 200] as words from c)"
+SHARES = ", ".join(f"100.0::double * len(list_filter(words, lambda x: lower(x[1]) = '{d[0]}')) / len(words) as {d}" for d in DIMS6)
+
+
+@query(
+    f"with {CHUNKS}, s as (select doc_id, {SHARES} from k), g as (select doc_id, count(*)::int as n_chunks, {', '.join(f'avg({d}) as {d}' for d in DIMS6)} from s group by doc_id) "
+    f"select doc_id, n_chunks, {', '.join(f'{r2(d)} as {d}' for d in DIMS6)}, {r2('((' + ' + '.join(DIMS6) + ') / 6.0::double)')} as final_score from g",
+    fact=False,
+)
 def doc_scores(spark, sf_dir):
     """The whole text pipeline with the stand-in scorer."""
     rows = scoring.chunked(table(spark, sf_dir, "documents"))
