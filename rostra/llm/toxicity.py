@@ -71,22 +71,25 @@ def train(texts: list[str | None], toxic: np.ndarray, max_features: int = 10_000
     if not len(y) or y.min() == y.max():
         share = float(y.mean()) if len(y) else 0.0
         return Model(none, float(np.clip(np.log(max(share, 1e-9) / max(1 - share, 1e-9)), -20, 20)))
-    held = [(h.astype(np.uint32), np.minimum(c, 65535).astype(np.uint16)) for h, c in map(present, texts)]
-    count = np.zeros((2, 1 << BITS))
-    for (h, _), label in zip(held, y, strict=True):
-        count[int(label), h] += 1
+    count = np.zeros((2, 1 << BITS), dtype=np.int32)
+    for t, label in zip(texts, y, strict=True):
+        count[int(label), present(t)[0]] += 1
     n1, n0 = y.sum(), len(y) - y.sum()
     r = np.log((count[1] + alpha) / (n1 + 2 * alpha)) - np.log((count[0] + alpha) / (n0 + 2 * alpha))
     sure = np.abs(r) / np.sqrt(1 / (count[1] + alpha) + 1 / (count[0] + alpha))
     sure[(count.sum(0) < 3) | (sure < 2.5)] = 0
     kept = np.sort(np.argsort(-sure, kind="stable")[:max_features])
     kept = kept[sure[kept] > 0]
-    place = np.full(1 << BITS, -1)
+    place = np.full(1 << BITS, -1, dtype=np.int32)
     place[kept] = np.arange(len(kept))
-    cols = [place[h][place[h] >= 0] for h, _ in held]
-    often = np.concatenate([c[place[h] >= 0] for h, c in held])
-    row = np.repeat(np.arange(len(cols)), [len(c) for c in cols])
-    col = np.concatenate(cols)
+    held = []
+    for t in texts:  # again, as all buckets of all texts would take much more memory than those kept
+        h, c = present(t)
+        used = place[h] >= 0
+        held.append((place[h[used]], c[used]))
+    row = np.repeat(np.arange(len(held)), [len(h) for h, _ in held])
+    col, often = (np.concatenate([x[k] for x in held]) for k in (0, 1))
+    del held
     value = r[kept][col] * np.log2(1.0 + often)
     cost = np.where(y == 1, 0.5 / n1, 0.5 / n0) * len(y)
     w, bias = np.zeros(len(kept)), 0.0

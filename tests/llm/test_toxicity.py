@@ -40,7 +40,7 @@ def test_labels_held_out_change_nothing(tables):
 
 
 def test_ratios_by_brute_force():
-    texts, y = ["bad bad thing", "good thing", "bad", "good good"] * 3, np.array([1, 0, 1, 0] * 3)
+    texts, y = ["bad bad thing", "good thing", "bad", "good good"] * 20, np.array([1, 0, 1, 0] * 20)
     h, c = T.present("bad bad")
     plain = " bad bad "
     grams = {plain[i : i + n] for n in T.ORDERS for i in range(len(plain) - n + 1)}
