@@ -19,8 +19,12 @@ an empty table gives an empty result; other columns are ignored.
 ``deduplicate`` keeps one document of each group of copies and near copies, those whose sets of five-word shingles
 have a Jaccard similarity of 0.8 or more.  Such texts differ in more bits than 3 of one 64-bit fingerprint of shingles,
 so it draws several independent fingerprints of the words, takes pairs that the pigeonring search links in any of them
-as candidates, and checks each on the shingles by bottom-k sketches (exact up to 256 shingles; beyond, a standard error
-of 0.025 at 0.8).
+as candidates, and with them all that share one of BANDS keys, each of four minima of the shingles' hashes: a pair at
+0.8 shares none of them with a probability of 0.00003, whatever the texts' length.  Candidates are checked on the
+shingles by bottom-k sketches (exact up to 256 shingles; beyond, a standard error of 0.025 at 0.8).
+
+Only links that pass the check join trees.  In HUBS rounds the members of a key meet one of them, where they aren't in
+its tree yet, which settles large groups in linear time; what is then still apart within a key is compared pair by pair.
 """
 
 from __future__ import annotations
@@ -190,6 +194,12 @@ WORDS_OF_A_SHINGLE = 5
 SKETCH = 256
 #: Up to so many rows that go are broadcast (24 bytes each); beyond it, they are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
+#: Keys of a text, of four minima each, and rounds in which the members of a key meet one of them.
+BANDS = 20
+HUBS = 3
+#: Minima that similar texts must share before their sketches are compared: five standard errors below SIMILAR.
+SHARED_MINIMA = int(4 * BANDS * (SIMILAR - 5 * (SIMILAR * (1 - SIMILAR) / (4 * BANDS)) ** 0.5))
+_MINIMA = np.array([(0xD1342543DE82EF95 * (2 * t + 1)) % (1 << 64) for t in range(4 * BANDS)], dtype=np.uint64)
 _DRAWN = np.array([(0x9E3779B97F4A7C15 * (2 * t + 1)) % (1 << 64) for t in range(DRAWS)], dtype=np.uint64)
 
 
@@ -209,12 +219,27 @@ def drawn(text: bytes | None) -> list[int]:
     return out
 
 
+def shingles(text: bytes | None, width: int = WORDS_OF_A_SHINGLE) -> np.ndarray:
+    """The hashes of a text's set of shingles."""
+    words = (text or b"").lower().split()
+    found = {b" ".join(words[i : i + width]) for i in range(max(1, len(words) - width + 1))}
+    return np.frombuffer(b"".join([xxhash.xxh64_digest(s, SEED) for s in found]), ">i8").astype(np.int64)
+
+
+def banded(text: bytes | None) -> list[int]:
+    """BANDS keys of a text, each the last 16 bits of four minima of its shingles' hashes."""
+    h = shingles(text).view(np.uint64)
+    h = h ^ (h >> np.uint64(31))
+    low = np.empty(len(_MINIMA), np.uint16)
+    for k, c in enumerate(_MINIMA):
+        x = h * c
+        low[k] = (x ^ (x >> np.uint64(29))).min() & np.uint64(0xFFFF)
+    return low.view(np.int64).tolist()
+
+
 def sketch(text: bytes | None, width: int = WORDS_OF_A_SHINGLE, size: int = SKETCH) -> np.ndarray:
     """The ``size`` smallest hashes of a text's set of shingles, in order."""
-    words = (text or b"").lower().split()
-    shingles = {b" ".join(words[i : i + width]) for i in range(max(1, len(words) - width + 1))}
-    h = np.frombuffer(b"".join([xxhash.xxh64_digest(s, SEED) for s in shingles]), ">i8").astype(np.int64)
-    return np.sort(h)[:size]
+    return np.sort(shingles(text, width))[:size]
 
 
 def similarity(a: np.ndarray, b: np.ndarray, size: int = SKETCH) -> float:
@@ -241,24 +266,31 @@ def text_node() -> Column:
     return F.xxhash64(F.coalesce("text", F.lit("")))
 
 
-def similar(docs: DataFrame, least: float = SIMILAR, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
-    """Rows (doc_id, node) of docs, and links (u, v) of nodes whose texts are similar, enough to connect their groups."""
-    rows = stored(_mapped(docs.select("doc_id", text_node().alias("node"), "text"), drawn, "fps array<long>"), "drawn")
-    nodes = rows.groupBy("node").agg(F.first("fps").alias("fps"))
-    each = nodes.select("node", F.posexplode("fps").alias("tag", "fp")).withColumn("tag", F.col("tag").cast("long"))
-    named = stored(each.groupBy("tag", "fp").agg(F.min("node").alias("name")), "drawn-names")
-    n1, n2 = (named.select(F.col("tag").alias(f"t{k}"), F.col("fp").alias(f"f{k}"), F.col("name").alias(x)) for k, x in ((1, "u"), (2, "v")))
-    alike = each.join(n1, (F.col("tag") == F.col("t1")) & (F.col("fp") == F.col("f1"))).select(F.col("node").alias("v"), "u")
-    near = links(named.select("tag", "fp"), hot).select("tag", F.col("u").alias("a"), F.col("v").alias("b"))
-    near = near.join(n1, (F.col("tag") == F.col("t1")) & (F.col("a") == F.col("f1"))).join(n2, (F.col("tag") == F.col("t2")) & (F.col("b") == F.col("f2")))
-    pairs = alike.select("u", "v").unionByName(near.select("u", "v")).where("u <> v")
-    pairs = stored(pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "drawn-pairs")
-    asked = stored(pairs.select(F.col("u").alias("__node")).unionByName(pairs.select(F.col("v").alias("__node"))).distinct(), "drawn-asked")
+def _apart(live: DataFrame) -> DataFrame:
+    """u, v: pairs of nodes of one key (key, node, root, bands) in different trees that share enough minima."""
+
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for members in batch.column(0):
+                m = members.values
+                node, root = m.field("node").to_numpy(), m.field("root").to_numpy()
+                low = m.field("bands").flatten().to_numpy().view(np.uint16).reshape(len(node), -1)
+                for i in range(len(node) - 1):
+                    j = i + 1 + np.flatnonzero(root[i + 1 :] != root[i])
+                    j = j[(low[j] == low[i]).sum(axis=1) >= SHARED_MINIMA]
+                    if len(j):
+                        u, v = np.minimum(node[i], node[j]), np.maximum(node[i], node[j])
+                        yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+
+    return live.groupBy("key").agg(F.collect_list(F.struct("node", "root", "bands")).alias("m")).select("m").mapInArrow(met, "u long, v long").distinct()
+
+
+def _checker(docs: DataFrame, asked: DataFrame, least: float) -> Callable[[DataFrame], DataFrame]:
+    """What gives, of pairs (u, v) of the asked nodes, those whose texts are similar."""
     held = F.broadcast(asked) if asked.count() <= BROADCAST_ROWS else asked
     texts = docs.select(text_node().alias("node"), "text").join(held, F.col("node") == F.col("__node"), "left_semi")
     made = stored(_mapped(texts, lambda t: sketch(t).tolist(), "hashes array<long>").groupBy("node").agg(F.first("hashes").alias("hashes")), "drawn-sketches")
     s1, s2 = (made.select(F.col("node").alias(f"n{k}"), F.col("hashes").alias(f"h{k}")) for k in (1, 2))
-    joined = pairs.join(s1, F.col("u") == F.col("n1")).join(s2, F.col("v") == F.col("n2")).select("u", "v", "h1", "h2")
 
     def checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -266,7 +298,50 @@ def similar(docs: DataFrame, least: float = SIMILAR, hot: int = HOT) -> tuple[Da
             good = [similarity(a[i].values.to_numpy(), b[i].values.to_numpy()) >= least for i in range(batch.num_rows)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["u", "v"]).filter(pa.array(good, pa.bool_()))
 
-    return rows.select("doc_id", "node"), joined.mapInArrow(checked, "u long, v long")
+    def check(pairs: DataFrame) -> DataFrame:
+        joined = pairs.join(s1, F.col("u") == F.col("n1")).join(s2, F.col("v") == F.col("n2")).select("u", "v", "h1", "h2")
+        return stored(joined.mapInArrow(checked, "u long, v long"), "drawn-links")
+
+    return check
+
+
+def similar(docs: DataFrame, least: float = SIMILAR, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, node) of docs, and links (u, v) of nodes whose texts are similar, enough to connect their groups."""
+    rows = stored(_mapped(docs.select("doc_id", text_node().alias("node"), "text"), lambda t: drawn(t) + banded(t), "fps array<long>"), "drawn")
+    nodes = stored(rows.groupBy("node").agg(F.first("fps").alias("fps")), "drawn-nodes")
+    # what the pigeonring links
+    each = nodes.select("node", F.posexplode(F.slice("fps", 1, DRAWS)).alias("tag", "fp")).withColumn("tag", F.col("tag").cast("long"))
+    named = stored(each.groupBy("tag", "fp").agg(F.min("node").alias("name")), "drawn-names")
+    n1, n2 = (named.select(F.col("tag").alias(f"t{k}"), F.col("fp").alias(f"f{k}"), F.col("name").alias(x)) for k, x in ((1, "u"), (2, "v")))
+    alike = each.join(n1, (F.col("tag") == F.col("t1")) & (F.col("fp") == F.col("f1"))).select(F.col("node").alias("v"), "u")
+    near = links(named.select("tag", "fp"), hot).select("tag", F.col("u").alias("a"), F.col("v").alias("b"))
+    near = near.join(n1, (F.col("tag") == F.col("t1")) & (F.col("a") == F.col("f1"))).join(n2, (F.col("tag") == F.col("t2")) & (F.col("b") == F.col("f2")))
+    drawn_pairs = alike.select("u", "v").unionByName(near.select("u", "v")).where("u <> v")
+    drawn_pairs = stored(drawn_pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "drawn-pairs")
+    # what shares a key of minima
+    bands = nodes.select("node", F.slice("fps", DRAWS + 1, BANDS).alias("bands"))
+    keyed = bands.select("node", F.posexplode("bands").alias("band", "value")).select("node", F.xxhash64("band", "value").alias("key"))
+    sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").withColumnRenamed("key", "__key")
+    members = stored(keyed.join(sizes, F.col("key") == F.col("__key")).select("key", "node", "n"), "drawn-members")
+    asked = drawn_pairs.select(F.col("u").alias("__node")).unionByName(drawn_pairs.select(F.col("v").alias("__node"))).unionByName(members.select(F.col("node").alias("__node")))
+    check = _checker(docs, stored(asked.distinct(), "drawn-asked"), least)
+
+    linked, live = check(drawn_pairs), members
+    for turn in range(HUBS + 1):
+        roots = components(linked).withColumnRenamed("node", "__node")
+        live = live.select("key", "node", "n").join(roots, F.col("node") == F.col("__node"), "left").select("key", "node", "n", F.coalesce("root", "node").alias("root"))
+        met = F.max(F.struct(F.xxhash64("node", F.lit(turn)), F.col("node").alias("hub"), F.col("root").alias("hub_root"))).alias("hub")
+        hubs = live.groupBy(F.col("key").alias("__key")).agg(met, F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("__key", "hub.hub", "hub.hub_root")
+        live = stored(live.join(hubs, F.col("key") == F.col("__key")).drop("__key"), "drawn-live")
+        if not live.take(1):
+            break
+        if turn < HUBS:
+            pairs = live.where("root <> hub_root").select(F.least("node", "hub").alias("u"), F.greatest("node", "hub").alias("v")).distinct()
+            live = live.where("n > 2")  # the members of others have all met
+        else:
+            pairs = _apart(live.join(bands.withColumnRenamed("node", "__node"), F.col("node") == F.col("__node")))
+        linked = stored(linked.unionByName(check(stored(pairs, "drawn-pairs"))), "drawn-linked")
+    return rows.select("doc_id", "node"), linked
 
 
 def deduplicate(docs: DataFrame, least: float = SIMILAR, hot: int = HOT) -> DataFrame:

@@ -122,3 +122,34 @@ def test_one_document_of_each_group_stays(spark):
     similar = [i for i, t in near if jaccard(t, rows[i - 1000][1]) >= 0.8]
     assert len(extra & set(similar)) <= 0.1 * len(similar)
     assert S.deduplicate(docs.limit(0)).count() == 0 and S.deduplicate(docs).columns == docs.columns
+
+
+def brute_groups(texts):
+    """Which of the texts link with which, by single links of similarity 0.8 or more."""
+    sets = []
+    for t in texts:
+        w = t.lower().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))})
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if root[i] != root[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = sorted((root[i], root[j]))
+                root = [a if r == b else r for r in root]
+    return root
+
+
+def edited(rng, base, changes):
+    w = list(base)
+    for _ in range(changes):
+        w[rng.randrange(len(w))] = f"x{rng.randrange(10**9)}"
+    return " ".join(w)
+
+
+def test_a_cloud_of_edited_copies_links_as_by_brute_force(spark):
+    rng = random.Random(8)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+    texts = [edited(rng, base, rng.choice([2, 3, 4, 5])) for _ in range(300)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = {r.doc_id for r in S.deduplicate(docs).collect()}
+    assert kept == set(brute_groups(texts))
