@@ -153,3 +153,22 @@ def test_a_cloud_of_edited_copies_links_as_by_brute_force(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     kept = {r.doc_id for r in S.deduplicate(docs).collect()}
     assert kept == set(brute_groups(texts))
+
+
+def test_all_pairs_at_the_limit_are_found_in_short_texts_too(spark):
+    rng = random.Random(9)
+    texts = []
+    for i in range(400):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(rng.choice([9, 12, 20, 60, 150]))]
+        texts.append(" ".join(base))
+        w = list(base)
+        if len(base) <= 20:
+            w.append(f"x{i}")  # of m shingles and one more
+        else:
+            w[rng.randrange(len(w))] = f"x{i}"
+        texts.append(" ".join(w))
+    similar = [i for i in range(0, len(texts), 2) if jaccard(texts[i], texts[i + 1]) >= 0.8]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = {r.doc_id for r in S.deduplicate(docs).collect()}
+    assert len(similar) > 300 and not kept & {i + 1 for i in similar}
+    assert len(kept) == len(texts) - len(similar)
