@@ -21,7 +21,8 @@ have a Jaccard similarity of 0.8 or more.  Such texts differ in more bits than 3
 so it draws several independent fingerprints of the words, takes pairs that the pigeonring search links in any of them
 as candidates, and with them all that share one of BANDS keys, each of four minima of the shingles' hashes: a pair at
 0.8 shares none of them with a probability of 0.00003, whatever the texts' length.  Candidates are checked on the
-shingles by bottom-k sketches (exact up to 256 shingles; beyond, a standard error of 0.025 at 0.8).
+shingles: by bottom-k sketches where these are exact (up to 256 shingles) or settle it (beyond, they have a standard
+error of 0.025 at 0.8), else, within five standard errors of the limit, by the whole sets.
 
 Only links that pass the check join trees.  In HUBS rounds the members of a key meet one of them, where they aren't in
 its tree yet, which settles large groups in linear time; what is then still apart within a key is compared pair by pair.
@@ -192,6 +193,8 @@ DRAWS = 6
 SIMILAR = 0.8
 WORDS_OF_A_SHINGLE = 5
 SKETCH = 256
+#: Estimates so near to the limit settle nothing: five standard errors.
+UNSURE = 0.125
 #: Up to so many rows that go are broadcast (24 bytes each); beyond it, they are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 #: Keys of a text, of four minima each, and rounds in which the members of a key meet one of them.
@@ -295,12 +298,29 @@ def _checker(docs: DataFrame, asked: DataFrame, least: float) -> Callable[[DataF
     def checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b = batch.column(2), batch.column(3)
-            good = [similarity(a[i].values.to_numpy(), b[i].values.to_numpy()) >= least for i in range(batch.num_rows)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["u", "v"]).filter(pa.array(good, pa.bool_()))
+            sketches = [(a[i].values.to_numpy(), b[i].values.to_numpy()) for i in range(batch.num_rows)]
+            guess = np.array([similarity(x, y) for x, y in sketches], dtype=np.float64)
+            cut = np.array([max(len(x), len(y)) >= SKETCH for x, y in sketches], dtype=bool)
+            unsure = cut & (np.abs(guess - least) <= UNSURE)
+            out = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(unsure)], ["u", "v", "unsure"])
+            yield out.filter(pa.array(unsure | (guess >= least)))
+
+    def whole(pairs: DataFrame) -> DataFrame:
+        """Of pairs, those whose whole sets of shingles are similar."""
+        ids = stored(pairs.select(F.col("u").alias("__node")).unionByName(pairs.select(F.col("v").alias("__node"))).distinct(), "drawn-unsure")
+        ids = F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
+        long = docs.select(text_node().alias("node"), "text").join(ids, F.col("node") == F.col("__node"), "left_semi")
+        sets = stored(_mapped(long.dropDuplicates(["node"]), lambda t: shingles(t).tolist(), "hashes array<long>"), "drawn-shingles")
+        w1, w2 = (sets.select(F.col("node").alias(f"n{k}"), F.col("hashes").alias(f"h{k}")) for k in (1, 2))
+        both = pairs.join(w1, F.col("u") == F.col("n1")).join(w2, F.col("v") == F.col("n2"))
+        common = F.size(F.array_intersect("h1", "h2"))
+        return both.where(common / (F.size("h1") + F.size("h2") - common) >= least).select("u", "v")
 
     def check(pairs: DataFrame) -> DataFrame:
         joined = pairs.join(s1, F.col("u") == F.col("n1")).join(s2, F.col("v") == F.col("n2")).select("u", "v", "h1", "h2")
-        return stored(joined.mapInArrow(checked, "u long, v long"), "drawn-links")
+        found = stored(joined.mapInArrow(checked, "u long, v long, unsure boolean"), "drawn-checked")
+        clear, unsure = found.where("not unsure").select("u", "v"), found.where("unsure").select("u", "v")
+        return clear.unionByName(whole(unsure)) if unsure.take(1) else clear
 
     return check
 

@@ -172,3 +172,16 @@ def test_all_pairs_at_the_limit_are_found_in_short_texts_too(spark):
     kept = {r.doc_id for r in S.deduplicate(docs).collect()}
     assert len(similar) > 300 and not kept & {i + 1 for i in similar}
     assert len(kept) == len(texts) - len(similar)
+
+
+def test_long_texts_near_the_limit_are_compared_whole(spark):
+    rng = random.Random(10)
+    texts = []
+    for i in range(60):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(1500)]
+        texts += [" ".join(base), edited(rng, base, rng.randint(30, 37))]
+    similar = [i for i in range(0, len(texts), 2) if jaccard(texts[i], texts[i + 1]) >= 0.8]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = {r.doc_id for r in S.deduplicate(docs).collect()}
+    assert 10 < len(similar) < 50
+    assert kept == set(range(len(texts))) - {i + 1 for i in similar}
