@@ -5,10 +5,11 @@ counted: tasks pre-aggregate, a shuffle shards the sums by n-gram, and each lowe
 sums, and continuation counts: how many different symbols precede).  Counts join their contexts' sums, sharded by
 context, which gives the discounted probabilities; what the discounts free goes to the order below.
 
-The scorer holds the n-grams whose share of all counts is at least 1 / LIMIT.  There can be at most LIMIT of those in
-an order whatever the corpus, so the table that is broadcast has a proven bound, and the share left to lower orders is
-computed for exactly what it holds: the probabilities of all symbols after any context still sum to 1.  With
-``limit=None`` nothing is left out, and the model is the textbook one.
+The scorer leaves no n-gram out: the model is the textbook one and grows with the trusted text.  It is cut into parts
+of about PART_ROWS n-grams by the two symbols before the last: an n-gram, what it falls back to and its contexts are
+then all in one part (n-grams of one and two symbols are in every part), so each symbol of a document is scored by one
+part.  Parts come to the driver and are broadcast one after another; a document's sum is that over the parts.  With a
+``limit``, only n-grams whose share of all counts is at least 1 / limit are held; the probabilities still sum to 1.
 
 ``classified`` gives each document's log perplexity per symbol, and keeps it up to a fence of its language: the upper
 quartile of all its documents' values plus FENCE interquartile ranges, and further for short texts, whose means vary
@@ -27,18 +28,21 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rostra.llm.common import stored
+from rostra.llm.common import forget, stored
 
 ORDER = 6
-LIMIT = 1 << 19
+#: N-grams of one part of the model, which is what the driver and each Python worker hold at a time.
+PART_ROWS = 1_700_000
 FENCE = 10.0
 #: Texts of so many symbols get a fence twice as far from the median as very long ones.
 SHORT = 200
 #: Up to so many trusted ids are broadcast (16 bytes each); beyond it, they are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
+#: Up to so many texts' sums are broadcast (32 bytes each); beyond it, they are joined by a shuffle.
+BROADCAST_SUMS = 1_000_000
 _CHUNK = 1 << 20
 _NONE = np.float32(1)  # no logarithm of a probability
 
@@ -136,6 +140,14 @@ class Model:
     prob: np.ndarray
     left: np.ndarray
     floor: float  # probability of a symbol that no order holds
+    part: tuple[int, int] = (0, 1 << 16)  # of the two symbols before the last, as a number: from and until
+
+    def __getstate__(self) -> tuple:
+        at = np.flatnonzero(self.keys != -1)  # the table is made anew where it is read
+        return self.order, self.keys[at], self.prob[at], self.left[at], self.floor, self.part
+
+    def __setstate__(self, state: tuple) -> None:
+        self.__dict__.update(_table(*state[:5]).__dict__ | {"part": state[5]})
 
     def find(self, key: np.ndarray) -> np.ndarray:
         """Places of keys in the table, or -1."""
@@ -195,13 +207,15 @@ def _table(order: int, keys: np.ndarray, prob: np.ndarray, left: np.ndarray, flo
     return Model(order, slots, p, m, floor)
 
 
-def fit(texts: DataFrame, order: int = ORDER, limit: int | None = LIMIT) -> Model:
-    """The model of all rows of a column text."""
-    grams = stored(all_orders(stored(top_counts(texts, order), "grams-top"), order), "grams")
+def fitted(texts: DataFrame, order: int = ORDER, limit: int | None = None) -> DataFrame | None:
+    """n, gram and own (the discounted probability) of what the model of a column text holds, or None without any."""
+    counted = all_orders(stored(top_counts(texts, order), "grams-top"), order)
+    grams = stored(counted, "grams")
+    forget(counted)
     of = [F.sum((F.col("a") == k).cast("long")).alias(f"n{k}") for k in range(1, 5)]
     known = {r["n"]: r for r in grams.groupBy("n").agg(F.sum("raw").alias("total"), *of).collect()}  # a row for each order
     if not known:
-        return _table(order, np.zeros(0, np.int64), np.zeros(0), np.zeros(0), float(np.log(1 / 256)))
+        return None
     d = {n: discounts([r[f"n{k}"] for k in range(1, 5)]) for n, r in known.items()}
     by_order = F.element_at(F.array(*[F.array(*map(F.lit, d[n])) for n in range(1, order + 1)]), F.col("n"))
     less = F.element_at(by_order, F.least(F.col("a"), F.lit(3)).cast("int"))
@@ -210,8 +224,47 @@ def fit(texts: DataFrame, order: int = ORDER, limit: int | None = LIMIT) -> Mode
     sums = grams.groupBy(F.col("n").alias("__n"), context.alias("__context")).agg(F.sum("a").alias("__sum"))
     kept = grams.where(F.col("raw") * limit >= known[order]["total"]) if limit else grams
     kept = kept.withColumn("context", context).join(sums, (F.col("n") == F.col("__n")) & (F.col("context") == F.col("__context")))
-    rows = kept.select("n", "gram", ((F.col("a") - less) / F.col("__sum")).alias("own")).toPandas()  # at most order * limit rows
-    return interpolated(order, rows["n"].to_numpy(), rows["gram"].to_numpy(), rows["own"].to_numpy())
+    own = stored(kept.select("n", "gram", ((F.col("a") - less) / F.col("__sum")).alias("own")), "grams-own")
+    forget(grams)
+    return own
+
+
+def _before() -> Column:
+    """The two symbols before an n-gram's last, as a number."""
+    return F.shiftright("gram", 8).bitwiseAND(0xFFFF).cast("int")
+
+
+def parts(rows: DataFrame, size: int) -> list[tuple[int, int]]:
+    """Ranges of the two symbols before the last that hold about ``size`` n-grams each."""
+    counts = rows.where("n > 2").groupBy(_before().alias("at")).agg(F.count(F.lit(1)).alias("rows")).orderBy("at").collect()  # 65,536 rows at most
+    starts, held = [0], 0
+    for r in counts:
+        if held and held + r["rows"] > size:
+            starts.append(r["at"])
+            held = 0
+        held += r["rows"]
+    return list(zip(starts, [*starts[1:], 1 << 16], strict=True))
+
+
+def models(texts: DataFrame, order: int = ORDER, limit: int | None = None, size: int | None = None) -> Iterator[Model]:
+    """The model of all rows of a column text, part by part (one, without ``size``)."""
+    rows = fitted(texts, order, limit)
+    if rows is None:
+        yield _table(order, np.zeros(0, np.int64), np.zeros(0), np.zeros(0), float(np.log(1 / 256)))
+        return
+    for a, b in parts(rows, size) if size else [(0, 1 << 16)]:
+        held = rows.where((F.col("n") <= 2) | ((_before() >= a) & (_before() < b))).toArrow()
+        model = interpolated(order, *(held[c].to_numpy() for c in ("n", "gram", "own")))
+        model.part = (a, b)
+        del held
+        yield model
+        del model  # before the next part is made
+    forget(rows)
+
+
+def fit(texts: DataFrame, order: int = ORDER, limit: int | None = None) -> Model:
+    """The model of all rows of a column text, as one part."""
+    return next(models(texts, order, limit))
 
 
 def interpolated(order: int, n: np.ndarray, gram: np.ndarray, own: np.ndarray) -> Model:
@@ -261,6 +314,8 @@ def scored(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id", "la
                 key, owner = _joined(run, m.order)
                 inside = owner >= 0
                 count = np.bincount(owner[inside], minlength=len(run))
+                before = (key >> 8) & 0xFFFF
+                inside &= (before >= m.part[0]) & (before < m.part[1])
                 total = np.bincount(owner[inside], -m.log_probabilities(key[inside]), len(run))
                 n[first : first + len(run)] = count
                 mean[first : first + len(run)] = total / np.maximum(count, 1)
@@ -270,6 +325,26 @@ def scored(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id", "la
     return docs.select(*names).mapInArrow(values, schema)
 
 
+def scored_by_parts(docs: DataFrame, parts: Iterator[Model], keep: tuple[str, ...] = ("doc_id", "lang")) -> DataFrame:
+    """As scored(), by all parts of a model, one in memory at a time; equal texts have equal sums."""
+    model = next(parts)
+    if model.part == (0, 1 << 16):
+        return stored(scored(docs, model, keep), "perplexity")
+    coded = docs.withColumn("__text", F.xxhash64(F.coalesce("text", F.lit(""))))
+    sums = None
+    while model is not None:
+        one = scored(coded, model, ("__text",)).groupBy("__text").agg(F.first("n_symbols").alias("n_symbols"), F.first("log_ppl").alias("log_ppl"))
+        one = stored(one, "perplexity-part")
+        sums = one if sums is None else sums.unionByName(one)
+        model = None  # before the next part is made
+        model = next(parts, None)
+    sums = sums.groupBy(F.col("__text").alias("__own")).agg(F.first("n_symbols").alias("n_symbols"), F.sum("log_ppl").alias("log_ppl"))
+    sums = stored(sums, "perplexity-sums")
+    sums = F.broadcast(sums) if sums.count() <= BROADCAST_SUMS else sums
+    out = coded.join(sums, F.col("__text") == F.col("__own")).select(*keep, "n_symbols", "log_ppl")
+    return stored(out, "perplexity")
+
+
 def trusted_ids(labels: DataFrame) -> DataFrame:
     """__id of the documents whose best label is good."""
     best = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy(F.col("doc_id").alias("__id")).agg(F.max("quality").alias("__q"))
@@ -289,10 +364,10 @@ def fences(values: DataFrame, fence: float = FENCE) -> DataFrame:
     return out.select("lang", F.col("q")[1].alias("middle"), (F.col("q")[2] + spread * fence).alias("high"))
 
 
-def classified(docs: DataFrame, labels: DataFrame, order: int = ORDER, limit: int | None = LIMIT, keep: tuple[str, ...] = ("doc_id", "lang")) -> DataFrame:
+def classified(docs: DataFrame, labels: DataFrame, order: int = ORDER, limit: int | None = None, keep: tuple[str, ...] = ("doc_id", "lang")) -> DataFrame:
     """The columns ``keep`` (doc_id and lang among them), n_symbols, log_ppl, high and kept of every document."""
-    model = fit(only(docs, stored(trusted_ids(labels), "trusted")).select("text"), order, limit)
-    values = stored(scored(docs, model, keep), "perplexity")
+    trusted = only(docs, stored(trusted_ids(labels), "trusted")).select("text")
+    values = scored_by_parts(docs, models(trusted, order, limit, PART_ROWS), keep)
     return judged(values, fences(values.where("n_symbols > 0").select("lang", "log_ppl")))
 
 

@@ -96,3 +96,22 @@ def test_ids_join_by_a_shuffle_too(spark, monkeypatch):
     want = {r.doc_id for r in K.only(docs, K.trusted_ids(labels)).select("doc_id").collect()}
     monkeypatch.setattr(K, "BROADCAST_IDS", 0)
     assert {r.doc_id for r in K.only(docs, K.trusted_ids(labels)).select("doc_id").collect()} == want == set(range(0, 150, 2))
+
+
+def test_no_n_gram_is_left_out_and_parts_score_as_the_whole(spark, monkeypatch):
+    import inspect
+
+    rows = [(i, t, "en") for i, t in enumerate(TEXTS)] + [(99, "unseen: qux", None), (100, None, "en"), (101, "the cat sat", "xx"), (101, "the cat sat", "xx")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1) for i in range(len(TEXTS))], "doc_id long, quality int")
+    assert inspect.signature(K.classified).parameters["limit"].default is None
+    p = brute([t.encode() for t in TEXTS], 4)
+    monkeypatch.setattr(K, "PART_ROWS", 20)
+    assert len(list(K.models(docs.where("doc_id < 90"), 4, None, 20))) > 3
+    out = K.classified(docs, labels, 4, keep=("doc_id", "text", "lang")).collect()
+    assert len(out) == len(rows)
+    for r in out:
+        b = (r.text or "").encode()
+        line = bytes(3) + b
+        want = [-math.log(p(line[i : i + 3], line[i + 3])) for i in range(len(b))]
+        assert r.n_symbols == len(b) and r.log_ppl == pytest.approx(np.mean(want) if want else 0, rel=1e-4)
