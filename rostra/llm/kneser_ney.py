@@ -12,9 +12,11 @@ part.  Parts come to the driver and are broadcast one after another; a document'
 ``limit``, only n-grams whose share of all counts is at least 1 / limit are held; the probabilities still sum to 1.
 
 ``classified`` gives each document's log perplexity per symbol, and keeps it up to a fence of its language: the upper
-quartile of all its documents' values plus FENCE interquartile ranges, and further for short texts, whose means vary
-more.  (Trusted documents alone would not do: the model knows them, so their values are lower than those of other good
-texts.)  Low values are never a fault: copies of trusted texts have them.
+quartile of held-out trusted texts plus FENCE interquartile ranges, and further for short texts, whose means vary more.
+Held out is a quarter of the trusted texts by a hash of the text; a model of the others scores it, so that its values
+are those of good texts that the model doesn't know, and bad documents have no part in the fence.  A language with
+fewer than HELD_TEXTS of them has no such sample: its fence comes from all its documents, at WIDE interquartile ranges.
+Low values are never a fault: copies of trusted texts have them.
 
 Defined cases: a null or empty text has no symbols, perplexity 1 and is not kept; null languages are one language;
 repeated rows count and are judged each; without trusted text every byte has probability 1/256 and nothing is rejected;
@@ -36,7 +38,10 @@ from rostra.llm.common import forget, stored
 ORDER = 6
 #: N-grams of one part of the model, which is what the driver and each Python worker hold at a time.
 PART_ROWS = 1_700_000
-FENCE = 10.0
+FENCE = 3.0
+#: Where a language has fewer held-out texts than HELD_TEXTS, of all its documents.
+WIDE = 10.0
+HELD_TEXTS = 10
 #: Texts of so many symbols get a fence twice as far from the median as very long ones.
 SHORT = 200
 #: Up to so many trusted ids are broadcast (16 bytes each); beyond it, they are joined by a shuffle.
@@ -357,18 +362,34 @@ def only(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def fences(values: DataFrame, fence: float = FENCE) -> DataFrame:
-    """From lang and log_ppl of documents: lang, middle and high, the fence for long texts."""
+    """From lang and log_ppl of documents: lang, middle, high (the fence for long texts) and texts (how many)."""
     q = F.percentile_approx("log_ppl", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.lit(10_000))
-    out = values.groupBy("lang").agg(q.alias("q"))
+    out = values.groupBy("lang").agg(q.alias("q"), F.count(F.lit(1)).alias("texts"))
     spread = F.greatest(F.col("q")[2] - F.col("q")[0], F.lit(0.02))
-    return out.select("lang", F.col("q")[1].alias("middle"), (F.col("q")[2] + spread * fence).alias("high"))
+    return out.select("lang", F.col("q")[1].alias("middle"), (F.col("q")[2] + spread * fence).alias("high"), "texts")
+
+
+def held_out() -> Column:
+    return F.pmod(F.xxhash64(F.lit("held"), F.coalesce("text", F.lit(""))), F.lit(4)) == 0
+
+
+def trusted_fences(trusted: DataFrame, order: int = ORDER, limit: int | None = None) -> DataFrame:
+    """The fences of languages from lang and text of trusted documents, each different text once."""
+    held = trusted.where(held_out()).withColumn("own", F.xxhash64("text"))
+    values = scored_by_parts(held, models(trusted.where(~held_out()).select("text"), order, limit, PART_ROWS), ("lang", "own"))
+    once = values.where("n_symbols > 0").groupBy("lang", "own").agg(F.first("log_ppl").alias("log_ppl"))
+    return fences(once).where(F.col("texts") >= HELD_TEXTS)
 
 
 def classified(docs: DataFrame, labels: DataFrame, order: int = ORDER, limit: int | None = None, keep: tuple[str, ...] = ("doc_id", "lang")) -> DataFrame:
     """The columns ``keep`` (doc_id and lang among them), n_symbols, log_ppl, high and kept of every document."""
-    trusted = only(docs, stored(trusted_ids(labels), "trusted")).select("text")
-    values = scored_by_parts(docs, models(trusted, order, limit, PART_ROWS), keep)
-    return judged(values, fences(values.where("n_symbols > 0").select("lang", "log_ppl")))
+    trusted = stored(only(docs, stored(trusted_ids(labels), "trusted")).select("lang", "text"), "trusted-texts")
+    values = scored_by_parts(docs, models(trusted.select("text"), order, limit, PART_ROWS), keep)
+    table = stored(trusted_fences(trusted, order, limit), "fences-trusted")
+    rest = fences(values.where("n_symbols > 0").select("lang", "log_ppl"), WIDE)
+    known = F.broadcast(table.select(F.col("lang").alias("__known")))  # a row for each language
+    rest = rest.join(known, F.col("lang").eqNullSafe(F.col("__known")), "left_anti")
+    return judged(values, table.unionByName(rest).drop("texts"))
 
 
 def judged(values: DataFrame, table: DataFrame) -> DataFrame:

@@ -115,3 +115,15 @@ def test_no_n_gram_is_left_out_and_parts_score_as_the_whole(spark, monkeypatch):
         line = bytes(3) + b
         want = [-math.log(p(line[i : i + 3], line[i + 3])) for i in range(len(b))]
         assert r.n_symbols == len(b) and r.log_ppl == pytest.approx(np.mean(want) if want else 0, rel=1e-4)
+
+
+def test_many_bad_documents_do_not_move_the_fence(spark):
+    words = "the of and to in is that for it was on with as be at by this had not are but from or have an they".split()
+    rng = np.random.default_rng(6)
+    text = lambda n: " ".join(rng.choice(words, n))
+    scrambled = lambda n: "".join(rng.permutation(list(text(n))))
+    good = [(i, text(60), "en") for i in range(200)]
+    bad = [(1000 + i, scrambled(60), "en") for i in range(150)]
+    docs = spark.createDataFrame(good + bad, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1) for i in range(0, 200, 2)], "doc_id long, quality int")
+    assert {r.doc_id for r in K.classified(docs, labels).where("kept").collect()} == set(range(200))
