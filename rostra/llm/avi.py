@@ -401,7 +401,7 @@ def digest(text: bytes | None) -> tuple:
     payload, pictures = read(media)
     cuts = shots(pictures)
     light = [round(float(p.mean()), 3) for p in pictures]
-    feature = f"frames={len(pictures)};shots={len(cuts)};cuts={','.join(map(str, cuts[:64]))};light={sum(light) / len(light):.3f};range={max(light) - min(light):.3f}"
+    feature = f"frames={len(pictures)};shots={len(cuts)};cuts={','.join(map(str, cuts))};light={sum(light) / len(light):.3f};range={max(light) - min(light):.3f}"
     return len(text or b""), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature
 
 

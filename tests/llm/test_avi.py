@@ -93,3 +93,8 @@ def test_digests(spark):
     assert out[3][1:] == out[4][1:] and out[0][1:] == out[1][1:]
     assert A.digests(docs.limit(0)).count() == 0
     assert A.read(A.encode(docs).where("doc_id = 3").first().media)[0] == A.padded(("ü" * 5000).encode())
+
+
+def test_feature_lists_all_cuts(monkeypatch):
+    monkeypatch.setattr(A, "shots", lambda pictures: list(range(100)))
+    assert f";cuts={','.join(map(str, range(100)))};" in A.digest(b"text")[-1]
