@@ -6,8 +6,10 @@ size by a hash of the document, so no task grows with the input, and packs each
 the open bin, or a new one, for which the sum over all gaps of the squared number of open bins with that gap becomes
 smallest.  A bin of each gap that occurs is enough to choose from, so a step costs the capacity, not the bins.
 
-Defined cases: a null or empty text is the one token 0; repeated rows are packed as documents of their own; a null
-doc_id is a key like any other; empty tables give empty results; other columns are ignored.
+Defined cases: a null or empty text is the one token 0; a very long text is tokenized whole and cut into pieces that
+blocks share; repeated rows are packed as documents of their own and spread over the blocks; a null doc_id is a key like
+any other, and ids keep all their digits; ties in length are broken by the order of the ids, pieces and checksums; empty
+tables give empty results; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,8 +21,8 @@ from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,6 +41,8 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+#: What each special token begins with.
+_SPECIAL = b"<|"
 _SYMBOLS = bytes(c for c in range(33, 127) if not chr(c).isalnum())
 
 
@@ -58,7 +62,9 @@ class Words:
     """Token ids of texts through a cache of their words.
 
     The tokenizer's pre-tokens never span white space, so a text's ids are its words' ids in order.  Between a letter
-    and the ASCII symbols that end a word is a border of pre-tokens, so the two parts are looked up.
+    and the ASCII symbols that end a word is a border of pre-tokens, so the two parts are looked up.  Special tokens are
+    the exception: they are matched as they are spelt and may hold anything, so texts in which one could begin go to the
+    tokenizer whole.
     """
 
     def __init__(self, path: str, keep: int = KEPT):
@@ -91,7 +97,7 @@ class Words:
         number, whole, split, parts = self.number, [], [], []
         for w in number.fresh:  # grows by the parts, which come after
             stem = w.rstrip(_SYMBOLS)
-            if len(stem) < len(w) and stem and 97 <= stem[-1] <= 122 and b"<|" not in w:  # where special tokens begin
+            if len(stem) < len(w) and stem and 97 <= stem[-1] <= 122:
                 split.append(number[w])
                 parts += (number[stem], number[w[len(stem) :]])
             else:
@@ -113,10 +119,11 @@ class Words:
         if len(self.number) > self.keep or self.used > 8 * self.keep:
             self.clear()
         look = self.number.__getitem__
-        split = [t.lower().replace(b"\n", b" ").split(b" ") for t in texts]
+        whole = {i: np.array(self.of.encode(t.decode(), add_special_tokens=False).ids, np.uint32) for i, t in enumerate(texts) if _SPECIAL in t}
+        split = [[] if i in whole else t.lower().replace(b"\n", b" ").split(b" ") for i, t in enumerate(texts)]
         numbers = [np.fromiter(map(look, ws), np.int64, len(ws)) for ws in split]
         self._learn()
-        return [self._gather(k) for k in numbers]
+        return [whole[i] if i in whole else self._gather(k) for i, k in enumerate(numbers)]
 
 
 @cache
@@ -165,7 +172,8 @@ def _bounded(batch: pa.RecordBatch, most: int) -> Iterator[pa.RecordBatch]:
 
 
 def sum_of_squares(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, np.ndarray]:
-    """bin and offset of each length, taken in the order given."""
+    """bin and offset of each length, taken in the order given.  A bin whose gap is below all lengths is open no more."""
+    least = int(lengths.min(initial=capacity))
     open_bins = np.zeros(capacity + 1, np.int64)  # by gap
     held: list[list[int]] = [[] for _ in range(capacity + 1)]
     where, offset = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
@@ -175,14 +183,14 @@ def sum_of_squares(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.nd
         if s == capacity:
             where[i] = next(made)
             continue
-        # by how much the sum of squares changes: a bin of gap g becomes one of gap g - s; a full bin is open no more
+        # by how much the sum of squares changes: a bin of gap g becomes one of gap g - s, or is closed
         after = open_bins[: capacity + 1 - s].copy()
         before = open_bins[s:]
         change = 2 * (after - before) + 2
-        change[0] = 1 - 2 * before[0]
+        change[:least] = 1 - 2 * before[:least]
         change[before == 0] = far
         best = int(change.argmin())
-        fresh = 2 * int(open_bins[capacity - s]) + 1
+        fresh = 2 * int(open_bins[capacity - s]) + 1 if capacity - s >= least else 0
         if change[best] <= fresh:
             gap = best + s
             b = held[gap].pop()
@@ -190,7 +198,7 @@ def sum_of_squares(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.nd
         else:
             gap, b = capacity, next(made)
         where[i], offset[i] = b, capacity - gap
-        if gap > s:
+        if gap - s >= least:
             held[gap - s].append(b)
             open_bins[gap - s] += 1
     return where, offset
@@ -202,15 +210,18 @@ def pack(pieces: DataFrame, documents: int, capacity: int = CAPACITY, block: int
     documents: how many there are, for the number of blocks.  Blocks hold about ``block`` documents whatever the input.
     """
     blocks = max(1, -(-documents // block))
-    dealt = pieces.withColumn("__block", F.pmod(F.xxhash64(*order, "length"), F.lit(blocks)).cast("long"))
+    # the row's place in its task keeps equal rows from meeting in one block
+    dealt = pieces.withColumn("__block", F.pmod(F.xxhash64(*order, "length", F.monotonically_increasing_id()), F.lit(blocks)).cast("long"))
+    names = pieces.columns
 
-    def packed(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["length", *order], ascending=[False] + [True] * len(order), kind="stable", ignore_index=True)
-        bins, offset = sum_of_squares(frame["length"].to_numpy(), capacity)
-        return frame.drop(columns="__block").assign(sequence_id=(frame["__block"].to_numpy().astype(np.int64) << 32) + bins, offset=offset)
+    def packed(table: pa.Table) -> pa.Table:
+        table = table.take(pc.sort_indices(table, [("length", "descending"), *((c, "ascending") for c in order)])).combine_chunks()
+        bins, offset = sum_of_squares(table.column("length").to_numpy(), capacity)
+        sequence = (table.column("__block").to_numpy() << 32) + bins
+        return table.select(names).append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(offset))
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema), "sequence_id long, offset long"])
-    return dealt.groupBy("__block").applyInPandas(packed, schema)
+    return dealt.groupBy("__block").applyInArrow(packed, schema)
 
 
 def best_fit(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None) -> DataFrame:

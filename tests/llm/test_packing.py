@@ -46,7 +46,7 @@ def test_each_step_minimises_the_sum_of_squares(lengths):
 
 
 @settings(max_examples=60, deadline=None)
-@given(st.lists(st.sampled_from(["the", "Word,", "end.", "it's", "'s", "ñandú.", "é", "É", "a.b", "...", "\t", "x y", "###", "12,", "a<|endoftext|>,", "it'...", "b**'", "ΑΣ", "İ", "\x85", "\x0b", "\r\n", "日本", "🙂."]), max_size=20), st.sampled_from([" ", "\n", "  ", ""]))
+@given(st.lists(st.sampled_from(["the", "Word,", "end.", "it's", "'s", "ñandú.", "é", "É", "a.b", "...", "\t", "x y", "###", "12,", "a<|endoftext|>,", "it'...", "b**'", "<|ENDOFTEXT|>", "<|endoftext|>", "<|StartOfText|>", "x<|startoftext|>Y", "<|", "|>", "ΑΣ", "İ", "\x85", "\x0b", "\r\n", "日本", "🙂."]), max_size=20), st.sampled_from([" ", "\n", "  ", ""]))
 def test_word_cache_gives_the_tokenizer_s_ids(parts, glue):
     from tokenizers import Tokenizer
 
@@ -74,3 +74,18 @@ def test_packing_is_whole_and_tight(spark, tokenizer):
     assert P.best_fit(docs.limit(0)).count() == 0
     made = P.sequences(docs).collect()
     assert len(made) == len(used) and sum(len(r.ids) for r in made) == sum(r.length for r in out)
+
+
+def test_ids_keep_their_digits_beside_null(spark):
+    ids = [None, (1 << 60) + 1, (1 << 60) + 3, -(1 << 62) - 1]
+    docs = spark.createDataFrame([(i, "a b") for i in ids], "doc_id long, text string")
+    assert sorted(r.doc_id or 0 for r in P.best_fit(docs).collect()) == sorted(i or 0 for i in ids)
+
+
+def test_equal_rows_are_spread_over_the_blocks(spark):
+    pieces = spark.range(100_000).selectExpr("7L as doc_id", "0 as piece", "0L as start", "300L as length", "5L as ids_crc32")
+    out = P.pack(pieces, 100_000, block=2_000).selectExpr("sequence_id >> 32 as block", "sequence_id", "length")
+    blocks = [r["count"] for r in out.groupBy("block").count().collect()]
+    assert sum(blocks) == 100_000 and max(blocks) < 4_000
+    assert out.groupBy("sequence_id").sum("length").where("`sum(length)` > 2048").count() == 0
+    assert out.select("sequence_id").distinct().count() <= -(-100_000 // 6) + len(blocks)
