@@ -2,10 +2,17 @@
 
 Text is lower-cased in A-Z and cut into words of letters, digits and all that isn't ASCII.  One automaton holds every
 phrase as space-joined words between spaces, so one pass over a whole text finds all places of all phrases, overlapping
-ones too.  After the words of an identifier tag, the rest of its line is read as a licence expression.
+ones too; it runs over pieces of about PIECE bytes, each with the words that a phrase could have begun in.
 
-Defined cases: a null text counts as empty and has no words, places or labels; a malformed expression yields the
-identifiers it holds and the value of an unknown licence; repeated rows are scanned alike; other columns are ignored.
+What a text says is put to the parser as expressions.  Phrases that only the word and or or stands between are one
+expression of their labels (under the MIT license or Apache license version 2).  After an identifier tag, a licence
+expression is read as far as one can go on: identifiers must be known licences or exceptions, so prose ends it.  The
+score is the least value of all expressions, as if and joined them.
+
+Defined cases: a null text counts as empty and has no words, places or labels, and the score 0; a malformed expression
+yields the identifiers it holds and the value of an unknown licence; very long texts and lines, with any number of tags,
+take time in proportion; repeated rows are scanned alike, and equal texts have equal results; an empty table gives an
+empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -46,13 +53,16 @@ NOTICES = {
 TAG = "spdx license identifier"
 #: How freely text under a licence may be used, by the label's first part.
 FREEDOM = {
-    "mit": 1.0, "apache": 1.0, "bsd": 1.0, "isc": 1.0, "unlicense": 1.0, "cc0": 1.0, "bsl": 1.0, "0bsd": 1.0, "zlib": 1.0, "cc-by": 0.9,
-    "mpl": 0.6, "lgpl": 0.6, "epl": 0.6, "cc-by-sa": 0.5, "gpl": 0.4, "agpl": 0.3, "cc-by-nd": 0.2, "cc-by-nc": 0.1, "reserved": 0.0,
+    "mit": 1.0, "apache": 1.0, "bsd": 1.0, "isc": 1.0, "unlicense": 1.0, "cc0": 1.0, "bsl": 1.0, "0bsd": 1.0, "zlib": 1.0, "x11": 1.0, "postgresql": 1.0, "wtfpl": 1.0, "cc-by": 0.9, "artistic": 0.8, "ofl": 0.8,
+    "mpl": 0.6, "lgpl": 0.6, "epl": 0.6, "cddl": 0.6, "eupl": 0.5, "cc-by-sa": 0.5, "gpl": 0.4, "agpl": 0.3, "cc-by-nd": 0.2, "cc-by-nc": 0.1, "reserved": 0.0,
 }
 UNKNOWN = 0.5
+#: Bytes of text that are searched at a time.
+PIECE = 1 << 20
+_LONGEST = max(p.count(" ") + 1 for p in [*BASE, *NOTICES, TAG])
 
 _WORDS = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
-_TOKEN = re.compile(r"\(|\)|[a-z0-9][a-z0-9.+:-]*")
+_TOKEN = re.compile(r"[ \t:]*(\(|\)|[a-z0-9][a-z0-9.+:-]*)")
 _STRENGTH = {"or": 1, "and": 2, "with": 3}
 
 
@@ -62,6 +72,7 @@ class Place:
     label: str
     word: int  # of its first word, from 0
     length: int  # in words
+    before: bytes = b""  # the word before it
 
 
 @cache
@@ -74,8 +85,9 @@ def automaton() -> ahocorasick.Automaton:
     return made
 
 
-def words(text: str | None) -> list[bytes]:
-    return (text or "").encode("utf-8", "replace").translate(_WORDS).split()
+def plain(text: str | None) -> bytes:
+    """A text's words in lower case with white space between them."""
+    return (text or "").encode("utf-8", "replace").translate(_WORDS)
 
 
 def places(found: list[bytes]) -> list[Place]:
@@ -89,10 +101,25 @@ def places(found: list[bytes]) -> list[Place]:
             word = counted
         else:
             word = line.count(" ", 0, start)
-        out.append(Place(p.kind, p.label, word, p.length))
+        out.append(Place(p.kind, p.label, word, p.length, found[word - 1] if word else b""))
     return out
 
 
+def searched(raw: bytes, size: int = PIECE) -> tuple[int, list[Place]]:
+    """How many words there are, and every place of every phrase, piece by piece."""
+    n, out, tail, at = 0, [], [], 0
+    while at < len(raw):
+        end = raw.find(b" ", at + size) if at + size < len(raw) else -1
+        some = raw[at : end if end >= 0 else len(raw)].split()
+        at = end if end >= 0 else len(raw)
+        for p in places(tail + some):
+            if p.word + p.length > len(tail):
+                out.append(Place(p.kind, p.label, p.word + n - len(tail), p.length, p.before))
+        n += len(some)
+        tail = (tail + some)[-_LONGEST:]
+    return n, out
+
+
 def postfix(tokens: list[str]) -> list[str] | None:
     """Shunting-yard: the expression in postfix order, or None if it is malformed."""
     out: list[str] = []
@@ -130,15 +157,14 @@ def freedom(label: str) -> float:
     return next((FREEDOM[k] for n in range(len(parts), 0, -1) if (k := "-".join(parts[:n])) in FREEDOM), UNKNOWN)
 
 
-def evaluate(expression: str) -> tuple[list[str], float]:
+def evaluate(tokens: list[str]) -> tuple[list[str], float]:
     """Identifiers of a lower-case expression, exceptions left out, and its freedom.
 
     or offers the freer side, and binds to the stricter, with lifts a licence half-way to 1.
     """
-    tokens = _TOKEN.findall(expression)
     order = postfix(tokens)
     if order is None:
-        return sorted({t for t in tokens if t not in _STRENGTH and t not in "()"}), UNKNOWN
+        return sorted({t for t in tokens if t not in _STRENGTH and t not in "()" and "exception" not in t}), UNKNOWN
     stack: list[tuple[set[str], float]] = []
     for t in order:
         if t not in _STRENGTH:
@@ -150,34 +176,79 @@ def evaluate(expression: str) -> tuple[list[str], float]:
     return sorted(ids), value
 
 
+def known(identifier: str) -> bool:
+    """Whether it is that of a licence, or refers to one kept elsewhere."""
+    parts = identifier.rstrip("+").split("-")
+    return parts[0] == "licenseref" or identifier != "reserved" and any("-".join(parts[:n]) in FREEDOM for n in range(1, len(parts) + 1))
+
+
+def expression(low: str, at: int) -> list[str]:
+    """The longest licence expression that begins at a place of a lower-case text, on its line; an unended one if there is no whole one."""
+    tokens: list[str] = []
+    depth, operand, whole = 0, False, 0
+    while m := _TOKEN.match(low, at):
+        t = m[1]
+        bare = t.rstrip(".:-")  # a sentence may end here
+        if t == "(":
+            fits = not operand
+            depth += fits
+        elif t == ")":
+            fits = operand and depth > 0
+            depth -= fits
+        elif t in _STRENGTH:
+            fits = operand
+            operand = False
+        else:
+            fits = not operand and ("exception" in bare if tokens and tokens[-1] == "with" else known(bare))
+            operand = True
+        if not fits:
+            break
+        tokens.append(t if t in "()" else bare)
+        at = m.end()
+        if operand and not depth:
+            whole = len(tokens)
+        if t not in "()" and bare != t:
+            break
+    return tokens[:whole] or tokens
+
+
 _WORD_AT = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
-def expressions(text: str, tags: list[Place]) -> list[str]:
-    """The rest of the line after each tag, up to where no expression can go on."""
+def tagged(text: str, tags: list[Place]) -> set[tuple[str, ...]]:
+    """The different expressions after a text's tags."""
     low = text.translate({c: c + 32 for c in range(65, 91)})
     ends = {p.word + p.length - 1 for p in tags}
-    out = []
-    for k, m in enumerate(_WORD_AT.finditer(low)):
-        if k in ends:
-            rest = low[m.end() :].split("\n", 1)[0].lstrip(" \t:")
-            out.append(re.match(r"[a-z0-9.+:() \t-]*", rest)[0])
-    return out
+    return {tuple(expression(low, m.end())) for k, m in enumerate(_WORD_AT.finditer(low)) if k in ends}
+
+
+def chained(at: list[Place]) -> set[tuple[str, ...]]:
+    """The different expressions of phrases that follow each other with and or or between them."""
+    out: set[tuple[str, ...]] = set()
+    now: list[str] = []
+    end = -1
+    for p in sorted((p for p in at if p.kind != "tag"), key=lambda p: (p.word, p.length, p.label)):
+        if now and p.word == end + 1 and p.before in (b"and", b"or"):
+            now += [p.before.decode(), p.label]
+        else:
+            out |= {tuple(now)} if now else set()
+            now = [p.label]
+        end = p.word + p.length
+    return out | ({tuple(now)} if now else set())
 
 
 def scan(text: str | None) -> tuple[int, list[Place], list[str], float]:
     """Words, places, all labels and score of a text: the least freedom of all it names, 0 if it names none."""
-    found = words(text)
-    at = places(found)
+    n, at = searched(plain(text))
     labels = {p.label for p in at if p.kind != "tag"}
-    values = [freedom(x) for x in labels]
-    if tags := [p for p in at if p.kind == "tag"]:
-        for e in expressions(text or "", tags):
-            ids, value = evaluate(e)
-            if ids:
-                labels |= set(ids)
-                values.append(value)
-    return len(found), at, sorted(labels), min(values, default=0.0)
+    tags = [p for p in at if p.kind == "tag"]
+    values = []
+    for e in chained(at) | (tagged(text or "", tags) if tags else set()):
+        ids, value = evaluate(list(e))
+        if ids:
+            labels |= set(ids)
+            values.append(value)
+    return n, at, sorted(labels), min(values, default=0.0)
 
 
 def licenses(docs: DataFrame) -> DataFrame:
