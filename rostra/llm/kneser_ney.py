@@ -3,13 +3,15 @@
 Symbols are the bytes of a text, so an n-gram of up to six is one number, exactly.  Every n-gram of every trusted text is
 counted: tasks pre-aggregate, a shuffle shards the sums by n-gram, and each lower order follows from the one above (raw
 sums, and continuation counts: how many different symbols precede).  Counts join their contexts' sums, sharded by
-context, which gives the discounted probabilities; what the discounts free goes to the order below.
+context, which gives the discounted probabilities; what the discounts free goes to the order below.  No n-gram is left
+out, and neither the model nor the documents' n-grams come to the driver or are broadcast.
 
-The scorer leaves no n-gram out: the model is the textbook one and grows with the trusted text.  It is cut into parts
-of about PART_ROWS n-grams by the two symbols before the last: an n-gram, what it falls back to and its contexts are
-then all in one part (n-grams of one and two symbols are in every part), so each symbol of a document is scored by one
-part.  Parts come to the driver and are broadcast one after another; a document's sum is that over the parts.  With a
-``limit``, only n-grams whose share of all counts is at least 1 / limit are held; the probabilities still sum to 1.
+Documents are scored by a join of their n-grams with the sharded model.  Shards are ranges of the context read backwards,
+cut so that each holds about PART_ROWS n-grams; an n-gram of a lower order belongs to every shard whose range lies in its
+own context's, so that all a symbol falls back to is in one shard.  Texts are dealt to chunks of about CHUNK_BYTES.  A
+chunk sends each n-gram it holds once to its shard, where the model answers with the logarithm of the last symbol's
+probability, and the answers meet the chunk's texts again, which sums them by document.  So the work and what is shuffled
+grow with the input only, a frequent n-gram is one row a chunk, and a task holds one shard and one chunk at a time.
 
 ``classified`` gives each document's log perplexity per symbol, and keeps it up to a fence of its language: the upper
 quartile of held-out trusted texts plus FENCE interquartile ranges, and further for short texts, whose means vary more.
@@ -18,26 +20,31 @@ are those of good texts that the model doesn't know, and bad documents have no p
 fewer than HELD_TEXTS of them has no such sample: its fence comes from all its documents, at WIDE interquartile ranges.
 Low values are never a fault: copies of trusted texts have them.
 
-Defined cases: a null or empty text has no symbols, perplexity 1 and is not kept; null languages are one language;
-repeated rows count and are judged each; without trusted text every byte has probability 1/256 and nothing is rejected;
-labels without an id or quality are ignored; an empty table gives an empty result; other columns are ignored or kept.
+Defined cases: a null or empty text has no symbols, perplexity 1 and is not kept; a text longer than a chunk is a chunk
+of its own, worked through in runs; null languages are one language; repeated rows count and are judged each, and equal
+texts have equal values; without trusted text every byte has probability 1/256 and nothing is rejected; labels without an
+id or quality are ignored; an empty table gives an empty result; other columns are ignored or kept.
 """
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rostra.llm.common import forget, stored
 
 ORDER = 6
-#: N-grams of one part of the model, which is what the driver and each Python worker hold at a time.
-PART_ROWS = 1_700_000
+#: N-grams of the highest order in one shard of the model, which is what a Python worker holds at a time.
+PART_ROWS = 400_000
+#: Bytes of text in a chunk; a longer text is a chunk of its own.
+CHUNK_BYTES = 16 << 20
 FENCE = 3.0
 #: Where a language has fewer held-out texts than HELD_TEXTS, of all its documents.
 WIDE = 10.0
@@ -46,8 +53,6 @@ HELD_TEXTS = 10
 SHORT = 200
 #: Up to so many trusted ids are broadcast (16 bytes each); beyond it, they are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
-#: Up to so many texts' sums are broadcast (32 bytes each); beyond it, they are joined by a shuffle.
-BROADCAST_SUMS = 1_000_000
 _CHUNK = 1 << 20
 _NONE = np.float32(1)  # no logarithm of a probability
 
@@ -145,14 +150,6 @@ class Model:
     prob: np.ndarray
     left: np.ndarray
     floor: float  # probability of a symbol that no order holds
-    part: tuple[int, int] = (0, 1 << 16)  # of the two symbols before the last, as a number: from and until
-
-    def __getstate__(self) -> tuple:
-        at = np.flatnonzero(self.keys != -1)  # the table is made anew where it is read
-        return self.order, self.keys[at], self.prob[at], self.left[at], self.floor, self.part
-
-    def __setstate__(self, state: tuple) -> None:
-        self.__dict__.update(_table(*state[:5]).__dict__ | {"part": state[5]})
 
     def find(self, key: np.ndarray) -> np.ndarray:
         """Places of keys in the table, or -1."""
@@ -212,64 +209,265 @@ def _table(order: int, keys: np.ndarray, prob: np.ndarray, left: np.ndarray, flo
     return Model(order, slots, p, m, floor)
 
 
-def fitted(texts: DataFrame, order: int = ORDER, limit: int | None = None) -> DataFrame | None:
-    """n, gram and own (the discounted probability) of what the model of a column text holds, or None without any."""
-    counted = all_orders(stored(top_counts(texts, order), "grams-top"), order)
-    grams = stored(counted, "grams")
-    forget(counted)
+def fitted(texts: DataFrame, order: int = ORDER) -> DataFrame | None:
+    """n, gram and own (the discounted probability) of every n-gram of a column text, or None without any."""
+    grams = all_orders(stored(top_counts(texts, order), "grams-top"), order)
     of = [F.sum((F.col("a") == k).cast("long")).alias(f"n{k}") for k in range(1, 5)]
-    known = {r["n"]: r for r in grams.groupBy("n").agg(F.sum("raw").alias("total"), *of).collect()}  # a row for each order
+    known = {r["n"]: r for r in grams.groupBy("n").agg(*of).collect()}  # a row for each order
     if not known:
+        forget(grams)
         return None
     d = {n: discounts([r[f"n{k}"] for k in range(1, 5)]) for n, r in known.items()}
     by_order = F.element_at(F.array(*[F.array(*map(F.lit, d[n])) for n in range(1, order + 1)]), F.col("n"))
     less = F.element_at(by_order, F.least(F.col("a"), F.lit(3)).cast("int"))
-    context = F.shiftright("gram", 8)
-    # Counts join the sums of their contexts; both are sharded by order and context.
-    sums = grams.groupBy(F.col("n").alias("__n"), context.alias("__context")).agg(F.sum("a").alias("__sum"))
-    kept = grams.where(F.col("raw") * limit >= known[order]["total"]) if limit else grams
-    kept = kept.withColumn("context", context).join(sums, (F.col("n") == F.col("__n")) & (F.col("context") == F.col("__context")))
-    own = stored(kept.select("n", "gram", ((F.col("a") - less) / F.col("__sum")).alias("own")), "grams-own")
+    # Counts meet the sums of their contexts, sharded by order and context: 256 rows at most.
+    total = F.sum("a").over(Window.partitionBy("n", F.shiftright("gram", 8)))
+    own = stored(grams.select("n", "gram", ((F.col("a") - less) / total).alias("own")), "grams-own")
     forget(grams)
     return own
 
 
-def _before() -> Column:
-    """The two symbols before an n-gram's last, as a number."""
-    return F.shiftright("gram", 8).bitwiseAND(0xFFFF).cast("int")
+def backwards(gram: np.ndarray, n: int, order: int = ORDER) -> np.ndarray:
+    """The contexts of n-grams read backwards, as the first of the numbers that contexts of the full order with that end have."""
+    out = np.zeros(len(gram), np.int64)
+    for i in range(n - 1):
+        out |= (gram >> (8 * (i + 1)) & 0xFF) << (8 * (order - 2 - i))
+    return out
+
+
+def cuts(rows: DataFrame, order: int = ORDER, size: int | None = None) -> np.ndarray:
+    """Where shards of the model begin, the first one's 0 left out: quantiles of the contexts read backwards."""
+    top = rows.where(F.col("n") == order)
+    shards = max(1, -(-top.count() // (size or PART_ROWS)))
+    if shards == 1:
+        return np.zeros(0, np.int64)
+    terms = [F.shiftleft(F.shiftright("gram", 8 * (i + 1)).bitwiseAND(0xFF), 8 * (order - 2 - i)) for i in range(order - 1)]
+    key = sum(terms[1:], terms[0])
+    found = top.agg(F.percentile_approx(key, [k / shards for k in range(1, shards)], max(10_000, 20 * shards))).first()[0]
+    return np.unique(np.array(found, np.int64))
+
+
+def _packed(x: np.ndarray) -> bytes:
+    """Numbers byte by byte (all first bytes, then all second ones), compressed."""
+    return pa.compress(np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.itemsize).T).tobytes(), codec="zstd", asbytes=True)
+
 
+def _numbers(body: bytes, n: int, kind: type) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    planes = np.frombuffer(pa.decompress(body, decompressed_size=width * n, codec="zstd", asbytes=True), np.uint8).reshape(width, n)
+    return np.ascontiguousarray(planes.T).view(kind).reshape(-1)
 
-def parts(rows: DataFrame, size: int) -> list[tuple[int, int]]:
-    """Ranges of the two symbols before the last that hold about ``size`` n-grams each."""
-    counts = rows.where("n > 2").groupBy(_before().alias("at")).agg(F.count(F.lit(1)).alias("rows")).orderBy("at").collect()  # 65,536 rows at most
-    starts, held = [0], 0
-    for r in counts:
-        if held and held + r["rows"] > size:
-            starts.append(r["at"])
-            held = 0
-        held += r["rows"]
-    return list(zip(starts, [*starts[1:], 1 << 16], strict=True))
 
+def _squeezed(grams: np.ndarray) -> bytes:
+    """Rising numbers in few bytes: how many, and their differences."""
+    return struct.pack("<q", len(grams)) + _packed(np.diff(grams, prepend=0))
 
-def models(texts: DataFrame, order: int = ORDER, limit: int | None = None, size: int | None = None) -> Iterator[Model]:
-    """The model of all rows of a column text, part by part (one, without ``size``)."""
-    rows = fitted(texts, order, limit)
-    if rows is None:
-        yield _table(order, np.zeros(0, np.int64), np.zeros(0), np.zeros(0), float(np.log(1 / 256)))
-        return
-    for a, b in parts(rows, size) if size else [(0, 1 << 16)]:
-        held = rows.where((F.col("n") <= 2) | ((_before() >= a) & (_before() < b))).toArrow()
-        model = interpolated(order, *(held[c].to_numpy() for c in ("n", "gram", "own")))
-        model.part = (a, b)
-        del held
-        yield model
-        del model  # before the next part is made
-    forget(rows)
 
+def _spread(body: bytes) -> np.ndarray:
+    return np.cumsum(_numbers(body[8:], struct.unpack_from("<q", body)[0], np.int64))
 
-def fit(texts: DataFrame, order: int = ORDER, limit: int | None = None) -> Model:
-    """The model of all rows of a column text, as one part."""
-    return next(models(texts, order, limit))
+
+_SENT = pa.schema([("part", pa.int32()), ("chunk", pa.int64()), ("body", pa.binary())])
+_MODEL = -1  # the chunk of rows that hold the model
+
+
+def _rows(part: list[int], chunk: list[int], body: list[bytes]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(chunk, pa.int64()), pa.array(body, pa.binary())], schema=_SENT)
+
+
+def dealt(rows: DataFrame, starts: np.ndarray, order: int = ORDER) -> DataFrame:
+    """part, chunk (_MODEL) and body: the model's n-grams, each in every shard that may need it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, gram, own = (batch.column(k).to_numpy() for k in range(3))
+            first, last = np.zeros(len(n), np.int64), np.zeros(len(n), np.int64)
+            for k in range(1, order + 1):
+                at = np.flatnonzero(n == k)
+                low = backwards(gram[at], k, order)
+                first[at] = np.searchsorted(starts, low, "right")
+                last[at] = np.searchsorted(starts, low + (1 << (8 * (order - k))) - 1, "right")
+            times = last - first + 1
+            row = np.repeat(np.arange(len(n)), times)
+            part = first[row] + np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times)
+            by = np.argsort(part, kind="stable")
+            row, part = row[by], part[by]
+            ends = np.flatnonzero(np.append(part[1:] != part[:-1], True)) + 1
+            pieces = [row[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+            body = [n[p].astype(np.int8).tobytes() + gram[p].tobytes() + own[p].tobytes() for p in pieces]
+            yield _rows(part[ends - 1].tolist(), [_MODEL] * len(body), body)
+
+    return rows.select("n", "gram", "own").mapInArrow(run, "part int, chunk long, body binary")
+
+
+def chunked(docs: DataFrame, names: list[str]) -> DataFrame:
+    """chunk and body: the columns ``names`` (text last) in chunks of about CHUNK_BYTES of text, compressed.
+
+    A chunk's number is its task's and its place there, so a task that is run again makes the same chunks.
+    """
+    size = CHUNK_BYTES
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, held, bytes_held = TaskContext.get().partitionId() << 32, [], 0
+
+        def made() -> pa.RecordBatch:
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 6))) as out:
+                for x in held:
+                    out.write_batch(x)
+            return pa.RecordBatch.from_arrays([pa.array([number]), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["chunk", "body"])
+
+        for batch in batches:
+            lengths = np.array([0 if not t.is_valid else t.as_buffer().size for t in batch.column(batch.num_columns - 1)], np.int64)
+            at = 0
+            for i, n in enumerate(lengths.tolist()):
+                if bytes_held + n > size and (held or i > at):
+                    if i > at:
+                        held.append(batch.slice(at, i - at))
+                    yield made()
+                    number, held, bytes_held, at = number + 1, [], 0, i
+                bytes_held += n
+            if at < batch.num_rows:
+                held.append(batch.slice(at))
+        if held:
+            yield made()
+
+    return docs.select(*names).mapInArrow(run, "chunk long, body binary")
+
+
+def _unpacked(body: bytes) -> pa.Table:
+    return pa.ipc.open_stream(body).read_all().combine_chunks()
+
+
+def _windows(texts: list[bytes], order: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """n-gram keys of about _CHUNK symbols at a time, and the text of each; a long text is cut, each run with its context."""
+    run, numbers, size = [], [], 0
+    for i, t in enumerate(texts):
+        for a in range(0, len(t), _CHUNK):
+            piece = t[max(0, a - order + 1) : a + _CHUNK]
+            run.append((piece, min(a, order - 1)))
+            numbers.append(i)
+            size += len(piece)
+            if size >= _CHUNK:
+                yield _keys(run, numbers, order)
+                run, numbers, size = [], [], 0
+    if run:
+        yield _keys(run, numbers, order)
+
+
+def _keys(run: list[tuple[bytes, int]], numbers: list[int], order: int) -> tuple[np.ndarray, np.ndarray]:
+    key, owner = _joined([p for p, _ in run], order)
+    for k, (_, ahead) in enumerate(run):
+        if ahead:  # symbols that only give context
+            owner[np.flatnonzero(owner == k)[:ahead]] = -1
+    inside = owner >= 0
+    return key[inside], np.array(numbers, np.int64)[owner[inside]]
+
+
+def _texts(table: pa.Table) -> list[bytes]:
+    return [t.as_py() or b"" for t in table.column(table.num_columns - 1).cast(pa.binary())]
+
+
+def asked(chunks: DataFrame, starts: np.ndarray, order: int = ORDER) -> DataFrame:
+    """part, chunk and body: the different n-grams of each chunk's texts, by the shard that knows them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk, body in zip(batch.column("chunk").to_pylist(), batch.column("body"), strict=True):
+                grams, fresh, held = np.zeros(0, np.int64), [], 0
+                for key, _ in _windows(_texts(_unpacked(body.as_py())), order):
+                    fresh.append(np.unique(key))
+                    held += len(fresh[-1])
+                    if held > 2_000_000:
+                        grams, fresh, held = np.unique(np.concatenate([grams, *fresh])), [], 0
+                grams = np.unique(np.concatenate([grams, *fresh]))
+                part = np.searchsorted(starts, backwards(grams, order, order), "right")
+                by = np.argsort(part, kind="stable")
+                ends = np.flatnonzero(np.append(part[by][1:] != part[by][:-1], True)) + 1 if len(by) else []
+                pieces = [by[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)] if len(by) else []
+                yield _rows([int(part[p[0]]) for p in pieces], [chunk] * len(pieces), [_squeezed(grams[p]) for p in pieces])
+
+    return chunks.mapInArrow(run, "part int, chunk long, body binary")
+
+
+def answered(sent: DataFrame, order: int = ORDER) -> DataFrame:
+    """part, chunk and body: each request's n-grams with the logarithms of their last symbols' probabilities.
+
+    Rows of a shard come together, the model's first.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, pieces, model = None, [], None
+        for batch in batches:
+            for part, chunk, body in zip(batch.column("part").to_pylist(), batch.column("chunk").to_pylist(), batch.column("body"), strict=True):
+                if part != now:
+                    now, pieces, model = part, [], None
+                raw = body.as_py()
+                if chunk == _MODEL:
+                    pieces.append(raw)
+                    continue
+                if model is None:
+                    model, pieces = interpolated(order, *_columns(pieces)), []
+                values = model.log_probabilities(_spread(raw)).astype(np.float32)
+                yield _rows([part], [chunk], [struct.pack("<q", len(raw)) + raw + _packed(values)])
+
+    return sent.mapInArrow(run, "part int, chunk long, body binary")
+
+
+def _columns(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    counts = [len(p) // 17 for p in pieces]
+    n = [np.frombuffer(p, np.int8, k) for p, k in zip(pieces, counts, strict=True)]
+    gram = [np.frombuffer(p, np.int64, k, k) for p, k in zip(pieces, counts, strict=True)]
+    own = [np.frombuffer(p, np.float64, k, 9 * k) for p, k in zip(pieces, counts, strict=True)]
+    return tuple(np.concatenate([np.zeros(0), *x]).astype(t) for x, t in ((n, np.int64), (gram, np.int64), (own, np.float64)))
+
+
+def _answers(bodies: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    grams, values = [np.zeros(0, np.int64)], [np.zeros(0, np.float32)]
+    for body in bodies:
+        (k,) = struct.unpack_from("<q", body)
+        grams.append(_spread(body[8 : 8 + k]))
+        values.append(_numbers(body[8 + k :], len(grams[-1]), np.float32))
+    g, v = np.concatenate(grams), np.concatenate(values)
+    by = np.argsort(g, kind="stable")
+    return g[by], v[by]
+
+
+def perplexities(docs: DataFrame, trained: DataFrame | None, keep: tuple[str, ...] = ("doc_id", "lang"), order: int = ORDER) -> DataFrame:
+    """The columns ``keep``, n_symbols and log_ppl (mean of -ln P) of every row of docs, from its whole text.
+
+    trained: what fitted() gives.
+    """
+    if trained is None:
+        n = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
+        return docs.select(*keep, n.alias("n_symbols"), F.when(n > 0, float(np.log(256))).otherwise(0.0).alias("log_ppl"))
+    starts = cuts(trained, order)
+    names = [*(k for k in dict.fromkeys(keep) if k != "text"), "text"]
+    chunks = chunked(docs, names).repartition("chunk")
+    sent = dealt(trained, starts, order).unionByName(asked(chunks, starts, order))
+    shards = len(starts) + 1
+    replies = answered(sent.repartitionById(shards, F.col("part")).sortWithinPartitions("part", "chunk"), order)
+    kinds = {k: docs.schema[k].dataType.simpleString() for k in keep}
+
+    def summed(left: pa.Table, right: pa.Table) -> pa.Table:
+        grams, values = _answers(right.column("body").to_pylist())
+        out = []
+        for body in left.column("body").to_pylist():
+            table = _unpacked(body)
+            count, total = np.zeros(table.num_rows, np.int64), np.zeros(table.num_rows)
+            for key, owner in _windows(_texts(table), order):
+                found, inverse = np.unique(key, return_inverse=True)
+                at = np.searchsorted(grams, found)
+                if not len(grams) or (grams[np.minimum(at, len(grams) - 1)] != found).any():
+                    raise ValueError("a chunk's answers lack n-grams of its texts")
+                count += np.bincount(owner, minlength=table.num_rows)
+                total -= np.bincount(owner, values[at][inverse], table.num_rows)
+            cols = [table.column(k).combine_chunks() for k in keep]
+            out.append(pa.Table.from_arrays([*cols, pa.array(count), pa.array(total / np.maximum(count, 1))], [*keep, "n_symbols", "log_ppl"]))
+        return pa.concat_tables(out) if out else pa.table({})
+
+    schema = ", ".join([*(f"`{k}` {t}" for k, t in kinds.items()), "n_symbols long, log_ppl double"])
+    return chunks.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(summed, schema)
 
 
 def interpolated(order: int, n: np.ndarray, gram: np.ndarray, own: np.ndarray) -> Model:
@@ -306,50 +504,6 @@ def interpolated(order: int, n: np.ndarray, gram: np.ndarray, own: np.ndarray) -
     return _table(order, tagged, np.concatenate(prob), np.concatenate(left), floor)
 
 
-def scored(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id", "lang")) -> DataFrame:
-    """The columns ``keep``, n_symbols and log_ppl (mean of -ln P) of every row, from its whole text."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    names = list(dict.fromkeys([*keep, "text"]))
-
-    def values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        for batch in batches:
-            n, mean = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows)
-            for first, run in _chunks(batch.column(names.index("text"))):
-                key, owner = _joined(run, m.order)
-                inside = owner >= 0
-                count = np.bincount(owner[inside], minlength=len(run))
-                before = (key >> 8) & 0xFFFF
-                inside &= (before >= m.part[0]) & (before < m.part[1])
-                total = np.bincount(owner[inside], -m.log_probabilities(key[inside]), len(run))
-                n[first : first + len(run)] = count
-                mean[first : first + len(run)] = total / np.maximum(count, 1)
-            yield pa.RecordBatch.from_arrays([*(batch.column(names.index(k)) for k in keep), pa.array(n), pa.array(mean)], [*keep, "n_symbols", "log_ppl"])
-
-    schema = ", ".join([*(f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keep), "n_symbols long, log_ppl double"])
-    return docs.select(*names).mapInArrow(values, schema)
-
-
-def scored_by_parts(docs: DataFrame, parts: Iterator[Model], keep: tuple[str, ...] = ("doc_id", "lang")) -> DataFrame:
-    """As scored(), by all parts of a model, one in memory at a time; equal texts have equal sums."""
-    model = next(parts)
-    if model.part == (0, 1 << 16):
-        return stored(scored(docs, model, keep), "perplexity")
-    coded = docs.withColumn("__text", F.xxhash64(F.coalesce("text", F.lit(""))))
-    sums = None
-    while model is not None:
-        one = scored(coded, model, ("__text",)).groupBy("__text").agg(F.first("n_symbols").alias("n_symbols"), F.first("log_ppl").alias("log_ppl"))
-        one = stored(one, "perplexity-part")
-        sums = one if sums is None else sums.unionByName(one)
-        model = None  # before the next part is made
-        model = next(parts, None)
-    sums = sums.groupBy(F.col("__text").alias("__own")).agg(F.first("n_symbols").alias("n_symbols"), F.sum("log_ppl").alias("log_ppl"))
-    sums = stored(sums, "perplexity-sums")
-    sums = F.broadcast(sums) if sums.count() <= BROADCAST_SUMS else sums
-    out = coded.join(sums, F.col("__text") == F.col("__own")).select(*keep, "n_symbols", "log_ppl")
-    return stored(out, "perplexity")
-
-
 def trusted_ids(labels: DataFrame) -> DataFrame:
     """__id of the documents whose best label is good."""
     best = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy(F.col("doc_id").alias("__id")).agg(F.max("quality").alias("__q"))
@@ -373,19 +527,26 @@ def held_out() -> Column:
     return F.pmod(F.xxhash64(F.lit("held"), F.coalesce("text", F.lit(""))), F.lit(4)) == 0
 
 
-def trusted_fences(trusted: DataFrame, order: int = ORDER, limit: int | None = None) -> DataFrame:
+def trusted_fences(trusted: DataFrame, order: int = ORDER) -> DataFrame:
     """The fences of languages from lang and text of trusted documents, each different text once."""
-    held = trusted.where(held_out()).withColumn("own", F.xxhash64("text"))
-    values = scored_by_parts(held, models(trusted.where(~held_out()).select("text"), order, limit, PART_ROWS), ("lang", "own"))
+    held = trusted.where(held_out()).select("lang", "text", F.xxhash64("text").alias("own"))
+    rows = fitted(trusted.where(~held_out()).select("text"), order)
+    values = stored(perplexities(held, rows, ("lang", "own"), order), "perplexity-held")
+    if rows is not None:
+        forget(rows)
     once = values.where("n_symbols > 0").groupBy("lang", "own").agg(F.first("log_ppl").alias("log_ppl"))
     return fences(once).where(F.col("texts") >= HELD_TEXTS)
 
 
-def classified(docs: DataFrame, labels: DataFrame, order: int = ORDER, limit: int | None = None, keep: tuple[str, ...] = ("doc_id", "lang")) -> DataFrame:
+def classified(docs: DataFrame, labels: DataFrame, order: int = ORDER, keep: tuple[str, ...] = ("doc_id", "lang")) -> DataFrame:
     """The columns ``keep`` (doc_id and lang among them), n_symbols, log_ppl, high and kept of every document."""
     trusted = stored(only(docs, stored(trusted_ids(labels), "trusted")).select("lang", "text"), "trusted-texts")
-    values = scored_by_parts(docs, models(trusted.select("text"), order, limit, PART_ROWS), keep)
-    table = stored(trusted_fences(trusted, order, limit), "fences-trusted")
+    table = stored(trusted_fences(trusted, order), "fences-trusted")
+    rows = fitted(trusted.select("text"), order)
+    forget(trusted)
+    values = stored(perplexities(docs, rows, keep, order), "perplexity")
+    if rows is not None:
+        forget(rows)
     rest = fences(values.where("n_symbols > 0").select("lang", "log_ppl"), WIDE)
     known = F.broadcast(table.select(F.col("lang").alias("__known")))  # a row for each language
     rest = rest.join(known, F.col("lang").eqNullSafe(F.col("__known")), "left_anti")

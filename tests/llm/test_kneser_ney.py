@@ -40,27 +40,46 @@ def brute(texts, order):
 TEXTS = ["the cat sat on the mat", "the dog sat on the log", "a cat and a dog", "naïve café", "the the the", "", "zz", "the mat and the log and the cat"] * 2 + ["the hat"]
 
 
-@pytest.mark.parametrize("order", [2, 4])
-def test_matches_the_textbook_model(spark, order):
-    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(TEXTS)] + [(99, "unseen: qux", None), (100, None, "en")], "doc_id long, text string, lang string")
-    trained = docs.where("doc_id < 90")
-    model = K.fit(trained, order, None)
-    p = brute([t.encode() for t in TEXTS], order)
-    for r in K.scored(docs, model, ("doc_id", "text")).collect():
+ODD = [(99, "unseen: qux", None), (100, None, "en"), (101, "the cat sat", "xx"), (101, "the cat sat", "xx"), (102, "", "en"), (103, "the log and the mat " * 40, "en")]
+
+
+def compared(rows, texts, order):
+    """Each row's perplexity against the textbook model of the texts."""
+    p = brute([t.encode() for t in texts], order)
+    for r in rows:
         b = (r.text or "").encode()
         line = bytes(order - 1) + b
         want = [-math.log(p(line[i : i + order - 1], line[i + order - 1])) for i in range(len(b))]
         assert r.n_symbols == len(b) and r.log_ppl == pytest.approx(np.mean(want) if want else 0, rel=1e-4)
 
 
-@pytest.mark.parametrize("limit", [40, 8])
-def test_a_bounded_table_still_sums_to_one(spark, limit):
+@pytest.mark.parametrize(("order", "part", "chunk"), [(2, 400_000, 1 << 24), (4, 20, 40), (6, 30, 1)])
+def test_matches_the_textbook_model(spark, monkeypatch, order, part, chunk):
+    """With one shard and chunk, and with many."""
+    monkeypatch.setattr(K, "PART_ROWS", part)
+    monkeypatch.setattr(K, "CHUNK_BYTES", chunk)
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(TEXTS)] + ODD, "doc_id long, text string, lang string")
+    trained = K.fitted(docs.where("doc_id < 90").select("text"), order)
+    assert (len(K.cuts(trained, order)) > 1) == (part < 100)
+    out = K.perplexities(docs, trained, ("doc_id", "text"), order).collect()
+    assert len(out) == len(TEXTS) + len(ODD)
+    compared(out, TEXTS, order)
+
+
+@pytest.mark.parametrize("order", [3, 6])
+def test_every_shard_holds_what_its_contexts_fall_back_to(spark, order):
     docs = spark.createDataFrame([(t,) for t in TEXTS], "text string")
-    model = K.fit(docs, 3, limit)
-    assert (model.keys != -1).sum() <= 3 * limit
-    for context in (b"th", b"\0\0", b"qq", b"a ", b" c"):
-        key = np.array([context[0] << 16 | context[1] << 8 | w for w in range(256)], dtype=np.int64)
-        assert np.exp(model.log_probabilities(key)).sum() == pytest.approx(1, abs=1e-4)
+    rows = K.fitted(docs, order)
+    starts = K.cuts(rows, order, 15)
+    assert len(starts) >= 3
+    sent = K.dealt(rows, starts, order).collect()
+    for part in range(len(starts) + 1):
+        model = K.interpolated(order, *K._columns([r.body for r in sent if r.part == part]))
+        low, high = (starts[part - 1] if part else 0), (starts[part] if part < len(starts) else 1 << 62)
+        for context in {(bytes(order - 1) + t.encode())[i : i + order - 1] for t in TEXTS for i in range(len(t.encode()))}:
+            key = np.array([int.from_bytes(context + bytes([w]), "big") for w in range(256)], dtype=np.int64)
+            if low <= K.backwards(key[:1], order, order)[0] < high:
+                assert np.exp(model.log_probabilities(key)).sum() == pytest.approx(1, abs=1e-4)
 
 
 def corpus(spark):
@@ -98,23 +117,27 @@ def test_ids_join_by_a_shuffle_too(spark, monkeypatch):
     assert {r.doc_id for r in K.only(docs, K.trusted_ids(labels)).select("doc_id").collect()} == want == set(range(0, 150, 2))
 
 
-def test_no_n_gram_is_left_out_and_parts_score_as_the_whole(spark, monkeypatch):
-    import inspect
-
-    rows = [(i, t, "en") for i, t in enumerate(TEXTS)] + [(99, "unseen: qux", None), (100, None, "en"), (101, "the cat sat", "xx"), (101, "the cat sat", "xx")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+def test_query_scores_by_the_textbook_model(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(TEXTS)] + ODD, "doc_id long, text string, lang string")
     labels = spark.createDataFrame([(i, 1) for i in range(len(TEXTS))], "doc_id long, quality int")
-    assert inspect.signature(K.classified).parameters["limit"].default is None
-    p = brute([t.encode() for t in TEXTS], 4)
     monkeypatch.setattr(K, "PART_ROWS", 20)
-    assert len(list(K.models(docs.where("doc_id < 90"), 4, None, 20))) > 3
     out = K.classified(docs, labels, 4, keep=("doc_id", "text", "lang")).collect()
-    assert len(out) == len(rows)
-    for r in out:
-        b = (r.text or "").encode()
-        line = bytes(3) + b
-        want = [-math.log(p(line[i : i + 3], line[i + 3])) for i in range(len(b))]
-        assert r.n_symbols == len(b) and r.log_ppl == pytest.approx(np.mean(want) if want else 0, rel=1e-4)
+    assert len(out) == len(TEXTS) + len(ODD)
+    compared(out, TEXTS, 4)
+
+
+@pytest.mark.parametrize("run", [1, 7, 50])
+def test_runs_of_long_texts_keep_their_contexts(monkeypatch, run):
+    texts = [t.encode() for t in TEXTS] + [b"the log and the mat " * 10]
+    (key, owner), = K._windows(texts, 4)
+    monkeypatch.setattr(K, "_CHUNK", run)
+    keys, owners = zip(*K._windows(texts, 4), strict=True)
+    assert len(keys) > 5 and np.concatenate(keys).tolist() == key.tolist() and np.concatenate(owners).tolist() == owner.tolist()
+
+
+def test_numbers_survive_squeezing():
+    for x in ([], [0], [5, 5, 1 << 47], [-1, 3, 1 << 40]):
+        assert K._spread(K._squeezed(np.array(x, np.int64))).tolist() == x
 
 
 def test_many_bad_documents_do_not_move_the_fence(spark):
