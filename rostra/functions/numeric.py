@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rostra.schema import BANDS, STOPS_DARK
+from rostra.schema import BANDS, SIGN_COLORS, STOPS_DARK
 
 
 def rounded(c: Column, places: int) -> Column:
@@ -69,3 +69,27 @@ def score_band(score: Column) -> Column:
 def short_count(n: Column) -> Column:
     """12.3k from a thousand on."""
     return F.when(n >= 1000, F.format_string("%.1fk", n / 1000.0)).otherwise(n.cast("string"))
+
+
+def thousands(n: Column, separator: str = ".") -> Column:
+    """1.234.567"""
+    return F.regexp_replace(F.format_number(n, 0), ",", separator)
+
+
+def signed(x: Column, places: int = 1) -> Column:
+    """+1.5, -0.3 and +0.0; half away from zero on the exact binary value."""
+    return F.format_string(f"%+.{places}f", x + F.lit(0.0))
+
+
+def sign_color(x: Column) -> Column:
+    """One colour from 0 on, another below; null for null."""
+    return F.when(x >= 0, SIGN_COLORS[0]).when(x < 0, SIGN_COLORS[1])
+
+
+def rgba(color: Column, alpha: float) -> Column:
+    """A colour #rrggbb or rgb(r,g,b) with an alpha."""
+    h = F.regexp_replace(color, "^#", "")
+    part = lambda k: F.conv(F.substring(h, 1 + 2 * k, 2), 16, 10)
+    named = F.regexp_extract(color, r"^rgb\((.*)\)$", 1)
+    numbers = F.when(color.startswith("rgb("), named).otherwise(F.concat_ws(",", part(0), part(1), part(2)))
+    return F.concat(F.lit("rgba("), numbers, F.lit(f",{alpha:g})"))

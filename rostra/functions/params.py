@@ -23,3 +23,16 @@ def group_column(name: str | None) -> str:
 
 def parts(text: str | None, separator: str) -> list[str]:
     return [x.strip() for x in (text or "").split(separator) if x.strip()]
+
+
+def selection(chosen: list[str], least: int = 1, most: int | None = None) -> list[str]:
+    """The chosen names, if there are as many as allowed."""
+    if len(chosen) < least or most is not None and len(chosen) > most:
+        raise ValueError(f"choose at least {least}" + (f" and at most {most}" if most else "") + f", not {len(chosen)}")
+    return chosen
+
+
+def toggled(chosen: list[str], name: str, least: int = 1, most: int | None = None) -> list[str]:
+    """The selection after a choice of name: out if it was in, else in; unchanged where the number isn't allowed."""
+    after = [x for x in chosen if x != name] if name in chosen else [*chosen, name]
+    return after if len(after) >= least and (most is None or len(after) <= max(most, len(chosen))) else chosen

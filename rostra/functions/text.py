@@ -17,6 +17,11 @@ def word_count(text: str) -> Column:
 
 def chunks(text: str, size: int) -> Column:
     """The words in runs of at most ``size``, each joined by single spaces; no words: no chunks."""
-    w = words(text)
-    starts = F.when(F.size(w) > 0, F.sequence(F.lit(1), F.size(w), F.lit(size)))
-    return F.coalesce(F.transform(starts, lambda a: F.array_join(F.slice(w, a, F.lit(size)), " ")), F.array().cast("array<string>"))
+
+    def cut(w: Column) -> Column:
+        starts = F.when(F.size(w) > 0, F.sequence(F.lit(1), F.size(w), F.lit(size)))
+        return F.transform(starts, lambda a: F.array_join(F.slice(w, a, F.lit(size)), " "))
+
+    # the words are bound to a variable, as an expression would be worked out again for each chunk
+    bound = F.element_at(F.transform(F.array(words(text)), cut), 1)
+    return F.coalesce(bound, F.array().cast("array<string>"))

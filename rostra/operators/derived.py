@@ -5,12 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rostra.functions.numeric import r2, score_rgb
-from rostra.functions.params import measure, parts
+from rostra.functions.numeric import r2, rgba, score_rgb, sign_color, signed
+from rostra.functions.params import measure, parts, selection
 from rostra.operators.profiles import yearly
-from rostra.schema import DIMS6, dim_country, dim_measure
-
-MOST_CHOSEN = 7
+from rostra.schema import CHOSEN_RADAR, DIMS6, STOPS_LIGHT, dim_country, dim_measure
 
 
 def ranked(profile: DataFrame, ties: list[str]) -> DataFrame:
@@ -46,8 +44,8 @@ def long_form(profile: DataFrame, ids: list[str], closed: bool = False) -> DataF
 
 
 def chosen(profile: DataFrame, names: str, column: str = "country") -> DataFrame:
-    """Rows of the named groups, of at most MOST_CHOSEN names."""
-    return profile.where(F.col(column).isin(parts(names, "|")[:MOST_CHOSEN]))
+    """Rows of the named groups; raises ValueError for fewer or more names than a view may hold."""
+    return profile.where(F.col(column).isin(selection(parts(names, "|"), *CHOSEN_RADAR)))
 
 
 def by_one_dimension(profile: DataFrame, dim: str) -> DataFrame:
@@ -86,3 +84,32 @@ def labelled_dimensions(rows: DataFrame, language: str = "en") -> DataFrame:
     d = dim_measure(rows.sparkSession)
     label = F.coalesce(F.col(language) if language in ("pt", "en") else F.lit(None), F.col("en"), F.col("dim"))
     return rows.join(F.broadcast(d), F.col("dim") == F.col("key"), "left").withColumn("label", label).drop("key", "pt", "en")
+
+
+def ascending(profile: DataFrame, light: bool = False) -> DataFrame:
+    """Countries by rising final score, with their place, label and colour in a theme."""
+    place = F.row_number().over(Window.orderBy(F.col("final_score").asc_nulls_first(), "iso3")).cast("int")
+    color = score_rgb(F.col("final_score"), STOPS_LIGHT) if light else score_rgb(F.col("final_score"))
+    return profile.select("iso3", "country", "final_score", place.alias("place"), F.format_string("%.1f", "final_score").alias("label"), color.alias("color")).orderBy("place")
+
+
+def by_name(profile: DataFrame, column: str = "country") -> DataFrame:
+    """Names in order, with their place."""
+    return profile.select(column, F.row_number().over(Window.orderBy(column)).cast("int").alias("place")).orderBy("place")
+
+
+def movers_bars(df: DataFrame, dtype: str = "") -> DataFrame:
+    """Movers with the label and the colours of their bars."""
+    rows = movers(df, dtype)
+    return rows.select("iso3", "country", "delta", signed(F.col("delta")).alias("label"), sign_color(F.col("delta")).alias("color"), rgba(sign_color(F.col("delta")), 0.5).alias("faded"))
+
+
+def collected(series: DataFrame, key: str = "country", order: str = "year", value: str = "score") -> DataFrame:
+    """A row for each group: its (order, value) pairs in order, and how many there are."""
+    rows = F.array_sort(F.collect_list(F.struct(order, value)))
+    return series.groupBy(key).agg(rows.alias("rows")).withColumn("n_rows", F.size("rows"))
+
+
+def flagged(profile: DataFrame, flags: DataFrame, default: str) -> DataFrame:
+    """Add a column of a small lookup table (key, flag), or the default."""
+    return profile.join(F.broadcast(flags), F.col("iso3") == F.col("key"), "left").withColumn("flag", F.coalesce("flag", F.lit(default))).drop("key")

@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from rostra.functions import numeric, text
 from rostra.operators import derived, distribution, profiles, scoring, stats
+from rostra import schema
 from rostra.schema import DIMS6, M7
-from rostra.sources.testdata import SCORED_SQL, scored, table
+from rostra.sources import load, testdata
+from rostra.sources.testdata import LOADED_SQL, SCORED_SQL, scored, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -118,7 +120,7 @@ def global_stats(spark, sf_dir):
     return stats.flat(scored(spark, sf_dir))
 
 
-@query(f"select {TOTALS}, {TOPS.format(w=chr(119) + 'here dtype = ' + repr('2-HIGH'))} from scored where dtype = '2-HIGH'")
+@query(f"select {TOTALS}, {TOPS.format(w="where dtype = '2-HIGH'")} from scored where dtype = '2-HIGH'")
 def global_stats_by_dtype(spark, sf_dir):
     return stats.flat(scored(spark, sf_dir), "2-HIGH")
 
@@ -234,9 +236,8 @@ def scatter_outliers(spark, sf_dir):
     return derived.outliers(profiles.countries(scored(spark, sf_dir)), "people_centrism", "anti_elitism")
 
 
-def channel(s: str, k: int) -> str:
-    from rostra.schema import STOPS_DARK as stops
-
+def channel(s: str, k: int, scale: str = "STOPS_DARK") -> str:
+    stops = getattr(schema, scale)
     arms = "".join(f"when {s} <= {b[0]} then cast(floor({a[k + 1]}.0::double + ({s} - {a[0]}.0::double) / {b[0] - a[0]}.0::double * {b[k + 1] - a[k + 1]}.0::double + 0.5::double) as int) " for a, b in zip(stops, stops[1:]))
     return f"case {arms}end"
 
@@ -319,3 +320,167 @@ def doc_scores(spark, sf_dir):
     """The whole text pipeline with the stand-in scorer."""
     rows = scoring.chunked(table(spark, sf_dir, "documents"))
     return numeric.round_frame(scoring.combined(scoring.scored_chunks(rows, scoring.marker_scorer)))
+
+
+# ---- the published tables: scores joined with documents, or one table of both ------------------------------------------
+
+
+def loaded(select: str) -> str:
+    return f"with scored as (select * from ({LOADED_SQL}) where final_score is not null and dtype <> 'INVALID') {select}"
+
+
+def _views(spark, sf_dir):
+    testdata.scores(spark, sf_dir).createOrReplaceTempView("scores")
+    testdata.discourses(spark, sf_dir).createOrReplaceTempView("discourses")
+
+
+def _from_catalog(spark, **tables):
+    """The fact that the loader makes of these views, which go again once it is planned."""
+    for name, df in tables.items():
+        df.createOrReplaceTempView(name)
+    try:
+        return load.load_scored(spark, cached=False)
+    finally:
+        for name in tables:
+            spark.catalog.dropTempView(name)
+
+
+def _joined(spark, sf_dir):
+    return _from_catalog(spark, scores=testdata.scores(spark, sf_dir), discourses=testdata.discourses(spark, sf_dir))
+
+
+@query(loaded(sub("true", "iso3, country")), fact=False)
+def loaded_country_profile(spark, sf_dir):
+    """Scores joined with documents: invalid and missing types and missing scores go, NaN counts as missing."""
+    return profiles.countries(_joined(spark, sf_dir))
+
+
+@query(loaded(f"select {LEADER}, n, {ROUND} from (select {LEADER}, count(final_score) as n, {RAW} from scored group by {LEADER} {TOP} limit 25)"), fact=False)
+def loaded_leader_profile(spark, sf_dir):
+    return profiles.leaders(_joined(spark, sf_dir))
+
+
+@query(f"with scored as ({LOADED_SQL}) " + sub("true", "iso3, country"), fact=False)
+def web_data_profile(spark, sf_dir):
+    """One table of both is taken as it is, where the catalog has it, before scores and documents."""
+    s, d = testdata.scores(spark, sf_dir), testdata.discourses(spark, sf_dir)
+    both = s.join(d, F.col("id") == F.col("discourse_id")).withColumnRenamed("discourse_year", "year").drop("id")
+    return profiles.countries(_from_catalog(spark, web_data=both, scores=s, discourses=d))
+
+
+@query(f"with scored as ({LOADED_SQL}) select iso3, {r2('avg(final_score)')} as avg_score, count(*) as n from scored where final_score is not null group by iso3", fact=False)
+def sql_documented(spark, sf_dir):
+    """The documented ad-hoc statement over both tables; rounding as everywhere here."""
+    text = "select d.iso3, rint(avg(s.final_score) * 100) / 100 as avg_score, count(*) as n from {scores} s join {discourses} d on d.id = s.discourse_id where s.final_score is not null group by d.iso3 order by avg_score desc"
+    return spark.sql(text, scores=testdata.scores(spark, sf_dir), discourses=testdata.discourses(spark, sf_dir))
+
+
+@query("select unnest(['discourses', 'scores']) as name", fact=False)
+def catalog_tables(spark, sf_dir):
+    """The catalog's listing of the two published tables."""
+    _views(spark, sf_dir)
+    try:
+        names = sorted(load.tables(spark) & {"scores", "discourses"})
+    finally:
+        for name in ("scores", "discourses"):
+            spark.catalog.dropTempView(name)
+    return spark.createDataFrame([(n,) for n in names], "name string")
+
+
+@query(loaded("select discourse_id, iso3, country, leader_name, year, dtype as discourse_type, final_score, count(*) as n from scored group by all"), fact=False)
+def export_rows(spark, sf_dir):
+    """The published spreadsheet's columns, equal rows counted."""
+    d, s = testdata.discourses(spark, sf_dir), testdata.scores(spark, sf_dir)
+    ids = s.join(d, F.col("id") == F.col("discourse_id")).where("final_score is not null and dtype <> 'INVALID'").withColumnRenamed("discourse_year", "year")
+    rows = load.exported(load.labelled(ids))
+    return rows.groupBy("discourse_id", "iso3", "country", "leader_name", "year", "discourse_type", "final_score").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"select {TOTALS}, {TOPS.format(w='')} from scored")
+def stats_nested(spark, sf_dir):
+    """The nested statistics, opened again: structs of the top groups and a map of means."""
+    nested = stats.stats(scored(spark, sf_dir))
+    tops = [F.col(f"{t}.{k}").alias(f"{t}_{k}") for t in ("top_country", "top_leader") for k in ("name", "score")]
+    return nested.select("n_discourses", "n_countries", "n_leaders", "year_min", "year_max", "avg_score", *[F.element_at("dim_avgs", F.lit(d)).alias(d) for d in DIMS6], *tops)
+
+
+@query("select dtype, count(final_score) as n from scored group by dtype")
+def json_records(spark, sf_dir):
+    """Records as JSON text, and read again."""
+    rows = load.json_rows(profiles.dtypes(scored(spark, sf_dir)))
+    return rows.select(F.from_json("json", "dtype string, n bigint").alias("r")).select("r.dtype", "r.n")
+
+
+# ---- views ---------------------------------------------------------------------------------------------------------------
+
+
+def shown(x: str) -> str:
+    return f"printf('%.1f', {x})"
+
+
+def light(s: str, k: int) -> str:
+    return channel(s, k, "STOPS_LIGHT")
+
+
+@query(f"select iso3, country, final_score, cast(row_number() over (order by final_score, iso3) as int) as place, concat('rgb(', {{0}}, ',', {{1}}, ',', {{2}}, ')') as color from ({COUNTRY})".format(*[light("final_score", k) for k in range(3)]))
+def country_ascending_light(spark, sf_dir):
+    return derived.ascending(profiles.countries(scored(spark, sf_dir)), light=True).drop("label")
+
+
+@query(f"select country, cast(row_number() over (order by encode(country)) as int) as place from (select distinct country from scored)")
+def countries_by_name(spark, sf_dir):
+    return derived.by_name(profiles.countries(scored(spark, sf_dir)))
+
+
+@query("select iso3, country, delta, case when delta >= 0 then '#F87171' else '#4ADE80' end as color, case when delta >= 0 then 'rgba(248,113,113,0.5)' else 'rgba(74,222,128,0.5)' end as faded from (" + ORACLE_SQL["movers"].removeprefix(FROM) + ")")
+def movers_bars(spark, sf_dir):
+    return derived.movers_bars(scored(spark, sf_dir)).drop("label")
+
+
+@query("select dtype, count(final_score) as n, case when count(final_score) >= 1000 then printf('%.1fk', count(final_score) / 1000.0::double) else cast(count(final_score) as varchar) end as short, replace(format('{:,}', count(final_score)), ',', '.') as grouped from scored group by dtype")
+def dtype_chips(spark, sf_dir):
+    rows = profiles.dtypes(scored(spark, sf_dir))
+    return rows.select("dtype", "n", numeric.short_count(F.col("n")).alias("short"), numeric.thousands(F.col("n")).alias("grouped"))
+
+
+@query(f"select country, string_agg(concat(year, ':', cast(cast(round_even(score * 100, 0) as int) as varchar)), ' ' order by year) as series, cast(count(*) as int) as n_rows from (select country, year, {r2('avg(final_score)')} as score from scored group by all) group by country")
+def series_by_country(spark, sf_dir):
+    """The rows of each group in order, and how many there are."""
+    found = derived.collected(profiles.yearly(scored(spark, sf_dir)))
+    pairs = F.transform("rows", lambda r: F.concat_ws(":", r["year"].cast("string"), F.rint(r["score"] * 100).cast("int").cast("string")))
+    return found.select("country", F.array_join(pairs, " ").alias("series"), "n_rows")
+
+
+@query(f"select iso3, country, case iso3 when 'N01' then 'one' when 'N02' then 'two' else '-' end as flag from ({COUNTRY})")
+def country_flags(spark, sf_dir):
+    flags = spark.createDataFrame([("N01", "one"), ("N02", "two"), ("N99", "none")], "key string, flag string")
+    return derived.flagged(profiles.countries(scored(spark, sf_dir)), flags, "-").select("iso3", "country", "flag")
+
+
+# ---- scored texts in the profiles -----------------------------------------------------------------------------------------
+
+KIND = "case when len(words) >= 300 then 'SPEECH' when len(words) >= 40 then 'LETTER' else 'INVALID' end"
+TEXTS = (
+    f"with {CHUNKS}, s as (select doc_id, {SHARES} from k), g as (select doc_id, {', '.join(f'avg({d}) as {d}' for d in DIMS6)} from s group by doc_id), "
+    f"scored as (select lang as iso3, lang as country, source as leader_name, source as leader_short, {KIND} as dtype, g.*, (({' + '.join(DIMS6)}) / 6.0::double) as final_score from g join w using (doc_id) join documents using (doc_id) where {KIND} <> 'INVALID') "
+)
+
+
+def _scored_texts(spark, sf_dir):
+    """Documents classified by their length, chunked, scored and combined, as a fact of languages and sources."""
+    docs = table(spark, sf_dir, "documents")
+    n = text.word_count("text")
+    kinds = scoring.classified(docs, F.when(n >= 300, "SPEECH").when(n >= 40, "LETTER").otherwise("INVALID")).where("dtype <> 'INVALID'")
+    scores = scoring.combined(scoring.scored_chunks(scoring.chunked(kinds), scoring.marker_scorer)).withColumnRenamed("doc_id", "__id")
+    rows = kinds.select("doc_id", F.col("lang").alias("iso3"), F.col("lang").alias("country"), F.col("source").alias("leader_name"), F.col("source").alias("leader_short"), "dtype")
+    return rows.join(scores, F.col("doc_id") == F.col("__id")).drop("__id")
+
+
+@query(TEXTS + sub("true", "iso3, country"), fact=False)
+def text_country_profile(spark, sf_dir):
+    return profiles.countries(_scored_texts(spark, sf_dir))
+
+
+@query(TEXTS + f"select {LEADER}, n, {ROUND} from (select {LEADER}, count(final_score) as n, {RAW} from scored where dtype = 'SPEECH' group by {LEADER} {TOP} limit 25)", fact=False)
+def text_leader_profile(spark, sf_dir):
+    return profiles.leaders(_scored_texts(spark, sf_dir), dtype="SPEECH")

@@ -24,7 +24,7 @@ DISCOURSES = T.StructType(
 SCORES = T.StructType([T.StructField("discourse_id", T.StringType(), False), *[T.StructField(m, T.DoubleType()) for m in M7], T.StructField("n_chunks", T.IntegerType())])
 #: What a pre-joined table must hold; n_chunks and word_count may be missing.
 WEB_DATA = T.StructType([*[T.StructField(m, T.DoubleType()) for m in M7], *[T.StructField(c, T.StringType()) for c in ("iso3", "leader_name", "dtype")], T.StructField("year", T.IntegerType())])
-#: The columns of a published export, without text.
+# The columns of a published export, without text.
 EXPORT = ["discourse_id", "iso3", "country", "leader_name", "year", "discourse_type", "word_count", "n_chunks", *M7, "model_id", "scored_at"]
 
 # Country labels by code.
@@ -84,7 +84,12 @@ MEASURE_LABELS = {
 # Fixed values: (score, red, green, blue) of the colour scale; the light theme differs in the first stop.
 STOPS_DARK = [(0, 26, 20, 16), (22, 93, 122, 90), (50, 201, 140, 58), (72, 184, 80, 66), (100, 138, 51, 40)]
 STOPS_LIGHT = [(0, 243, 234, 217), *STOPS_DARK[1:]]
-#: Lower ends of the bands Low, Moderate, High and Very High; each holds its lower end.
+# Colours of growth and of decline.
+SIGN_COLORS = ("#F87171", "#4ADE80")
+# How many groups a view holds at least and at most.
+CHOSEN_RADAR = (1, 7)
+CHOSEN_SERIES = (1, None)
+# Lower ends of the bands Low, Moderate, High and Very High; each holds its lower end.
 BANDS = [(0, "Low"), (30, "Moderate"), (50, "High"), (65, "Very High")]
 
 

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import os
+import zipfile
 from pathlib import Path
+from xml.sax.saxutils import escape
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -74,12 +76,56 @@ def json_rows(df: DataFrame) -> DataFrame:
     return df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("json"))
 
 
-def export(df: DataFrame, path: str, kind: str = "csv") -> None:
+def exported(df: DataFrame) -> DataFrame:
     """Per-document scores without text, in the published order of columns; those that df lacks are null."""
     names = {"discourse_type": "dtype"}
     columns: list[Column] = []
     for c in EXPORT:
         source = c if c in df.columns else names.get(c, c)
         columns.append(F.col(source).alias(c) if source in df.columns else F.lit(None).cast("string").alias(c))
-    out = df.select(*columns).write.mode("overwrite")
+    return df.select(*columns)
+
+
+def export(df: DataFrame, path: str, kind: str = "csv") -> None:
+    """exported() as csv, as xlsx (one file, on the driver's disk), or in another format of Spark's."""
+    rows = exported(df)
+    if kind == "xlsx":
+        write_xlsx(rows, path)
+        return
+    out = rows.write.mode("overwrite")
     out.option("header", True).csv(path) if kind == "csv" else out.format(kind).save(path)
+
+
+_PARTS = {
+    "[Content_Types].xml": '<Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/><Override PartName="/xl/workbook.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.sheet.main+xml"/><Override PartName="/xl/worksheets/sheet1.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.worksheet+xml"/></Types>',
+    "_rels/.rels": '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="r1" Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/officeDocument" Target="xl/workbook.xml"/></Relationships>',
+    "xl/workbook.xml": '<workbook xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"><sheets><sheet name="scores" sheetId="1" r:id="r1"/></sheets></workbook>',
+    "xl/_rels/workbook.xml.rels": '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="r1" Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/worksheet" Target="worksheets/sheet1.xml"/></Relationships>',
+}
+#: Rows that a sheet can hold.
+SHEET_ROWS = 1 << 20
+
+
+def _cell(value: object) -> str:
+    if value is None or isinstance(value, float) and value != value:
+        return "<c/>"
+    if isinstance(value, int | float) and not isinstance(value, bool):
+        return f"<c><v>{value!r}</v></c>"
+    text = "".join(ch for ch in str(value) if ch >= " " or ch in "\t\n")
+    return f'<c t="inlineStr"><is><t xml:space="preserve">{escape(text)}</t></is></c>'
+
+
+def write_xlsx(df: DataFrame, path: str) -> None:
+    """A spreadsheet of one sheet with a header; rows come to the driver a partition at a time.  Raises ValueError beyond SHEET_ROWS."""
+    if df.limit(SHEET_ROWS).count() == SHEET_ROWS:
+        raise ValueError("a sheet can't hold so many rows")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as out:
+        for name, body in _PARTS.items():
+            out.writestr(name, f'<?xml version="1.0" encoding="UTF-8" standalone="yes"?>{body}')
+        with out.open("xl/worksheets/sheet1.xml", "w") as sheet:
+            put = lambda row: sheet.write(f"<row>{''.join(map(_cell, row))}</row>".encode())
+            sheet.write(b'<?xml version="1.0" encoding="UTF-8" standalone="yes"?><worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheetData>')
+            put(df.columns)
+            for row in df.toLocalIterator():
+                put(row)
+            sheet.write(b"</sheetData></worksheet>")

@@ -84,3 +84,46 @@ SCORED_SQL = """
     join nation on n_nationkey = c_nationkey join part on p_partkey = l_partkey
   where o_orderpriority <> '4-NOT SPECIFIED'
 """
+
+
+def discourses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as documents, in the shape of the published table; one in eleven has no type, and NaN is in no column here."""
+    orders, customer, nation = (table(spark, sf_dir, t) for t in ("orders", "customer", "nation"))
+    rows = orders.join(customer, F.col("c_custkey") == F.col("o_custkey")).join(nation, F.col("n_nationkey") == F.col("c_nationkey"))
+    dtype = F.when(F.col("o_orderkey") % 11 != 0, F.when(F.col("o_orderpriority") == INVALID, "INVALID").otherwise(F.col("o_orderpriority")))
+    codes = F.array(*[F.lit(c) for c in ("BRA", "ARG", "CHL", "MEX", "PER", "COL", "VEN")])
+    iso3 = F.when(F.col("n_nationkey") < 7, F.element_at(codes, F.col("n_nationkey") + 1)).otherwise(F.col("n_name"))
+    return rows.select(F.col("o_orderkey").cast("string").alias("id"), iso3.alias("iso3"), F.col("c_name").alias("leader_name"), F.year("o_orderdate").cast("int").alias("discourse_year"), dtype.alias("dtype"), F.length("c_name").cast("int").alias("word_count"))
+
+
+def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items as scores, in the shape of the published table; some measures are NaN, some final scores null."""
+    line = table(spark, sf_dir, "lineitem")
+    q, nan = F.col("l_quantity"), F.lit(float("nan"))
+    values = {
+        "people_centrism": q * 2,
+        "anti_elitism": F.when(F.col("l_discount") == 0, nan).otherwise(F.col("l_discount") * 1000),
+        "moral_dichotomy": F.col("l_tax") * 1250,
+        "popular_sovereignty": F.col("l_extendedprice") / 1050,
+        "exclusionary_rhetoric": 100 - q,
+        "crisis_rhetoric": F.when(q == 7, nan).otherwise(q),
+        "final_score": F.when(q != 50, q + F.col("l_tax") * 100),
+    }
+    return line.select(F.col("l_orderkey").cast("string").alias("discourse_id"), *[c.alias(k) for k, c in values.items()], F.col("l_linenumber").cast("int").alias("n_chunks"))
+
+
+#: The same two tables in DuckDB, joined, labelled and with NaN as null.
+LOADED_SQL = """
+  select d.iso3, coalesce(n.name, d.iso3) as country, d.leader_name, d.leader_name as leader_short, d.discourse_year as year, d.dtype, s.*
+  from (
+    select cast(l_orderkey as varchar) as discourse_id, l_quantity * 2 as people_centrism, case when l_discount <> 0 then l_discount * 1000 end as anti_elitism,
+      l_tax * 1250 as moral_dichotomy, l_extendedprice / 1050 as popular_sovereignty, 100 - l_quantity as exclusionary_rhetoric,
+      case when l_quantity <> 7 then l_quantity end as crisis_rhetoric, case when l_quantity <> 50 then l_quantity + l_tax * 100 end as final_score
+    from lineitem) s
+  join (
+    select cast(o_orderkey as varchar) as id, c_name as leader_name, cast(year(o_orderdate) as int) as discourse_year,
+      case when n_nationkey < 7 then ['BRA', 'ARG', 'CHL', 'MEX', 'PER', 'COL', 'VEN'][n_nationkey + 1] else n_name end as iso3,
+      case when o_orderkey % 11 <> 0 then case when o_orderpriority = '4-NOT SPECIFIED' then 'INVALID' else o_orderpriority end end as dtype
+    from orders join customer on c_custkey = o_custkey join nation on n_nationkey = c_nationkey) d on d.id = s.discourse_id
+  left join (values ('BRA', 'Brazil'), ('ARG', 'Argentina'), ('CHL', 'Chile'), ('MEX', 'Mexico'), ('PER', 'Peru'), ('COL', 'Colombia'), ('VEN', 'Venezuela')) as n(code, name) on n.code = d.iso3
+"""

@@ -206,3 +206,34 @@ def test_text_pipeline(spark):
     out = {r.doc_id: r for r in scoring.combined(scoring.scored_chunks(rows, scoring.marker_scorer), {"anti_elitism": 3.0, "crisis_rhetoric": 1.0}).collect()}
     assert out[1].n_chunks == 3 and out[1].anti_elitism == pytest.approx(50 / 3) and out[1].final_score == pytest.approx((3 * 50 / 3 + 50 / 3) / 4)
     assert scoring.classified(docs, F.lit("SPEECH")).first().dtype == "SPEECH"
+
+
+def test_spreadsheet(spark, tmp_path):
+    import zipfile
+    from xml.etree import ElementTree
+
+    rows = spark.createDataFrame([("a<b>&", "BRA", 2001, 1.5, NAN), ("é\x01", None, None, -2.25, 3.0)], "discourse_id string, iso3 string, year int, final_score double, crisis_rhetoric double")
+    load.export(rows, str(tmp_path / "s.xlsx"), "xlsx")
+    with zipfile.ZipFile(tmp_path / "s.xlsx") as z:
+        assert all(ElementTree.fromstring(z.read(n)) is not None for n in z.namelist())
+        sheet = ElementTree.fromstring(z.read("xl/worksheets/sheet1.xml"))
+    lines = [["".join(c.itertext()) for c in row] for row in sheet[0]]
+    at = {c: i for i, c in enumerate(schema.EXPORT)}
+    assert lines[0] == schema.EXPORT and len(lines) == 3
+    assert sorted((x[at["discourse_id"]], x[at["iso3"]], x[at["year"]], x[at["final_score"]], x[at["crisis_rhetoric"]]) for x in lines[1:]) == [("a<b>&", "BRA", "2001", "1.5", ""), ("é", "", "", "-2.25", "3.0")]
+
+
+def test_selections():
+    assert params.toggled(["a", "b"], "a") == ["b"] and params.toggled(["a"], "a") == ["a"] and params.toggled(["a"], "b") == ["a", "b"]
+    seven = list("abcdefg")
+    assert params.toggled(seven, "h", 1, 7) == seven and params.toggled(seven, "g", 1, 7) == seven[:-1]
+    assert params.selection(seven, 1, 7) == seven
+    for bad in ([], [*seven, "h"]):
+        with pytest.raises(ValueError):
+            params.selection(bad, 1, 7)
+
+
+def test_number_and_colour_forms(spark):
+    rows = spark.createDataFrame([(1234567, 1.25, "#F87171"), (7, -0.04, "rgb(1,2,3)"), (999, 0.0, "0a0B0c")], "n long, x double, c string")
+    out = rows.select(numeric.thousands(F.col("n")), numeric.signed(F.col("x"), 2), numeric.sign_color(F.col("x")), numeric.rgba(F.col("c"), 0.5)).collect()
+    assert [tuple(r) for r in out] == [("1.234.567", "+1.25", "#F87171", "rgba(248,113,113,0.5)"), ("7", "-0.04", "#4ADE80", "rgba(1,2,3,0.5)"), ("999", "+0.00", "#F87171", "rgba(10,11,12,0.5)")]
