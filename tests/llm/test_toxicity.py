@@ -54,3 +54,35 @@ def test_one_class_and_nothing(tables):
     assert {round(r.score, 6) for r in T.toxicity(docs, labels.limit(0)).collect()} == {0.0}
     assert {round(r.score, 3) for r in T.toxicity(docs, labels.where("toxic = 1")).collect()} == {1.0}
     assert T.toxicity(docs.limit(0), labels).count() == 0
+
+
+@pytest.mark.parametrize("window", [1, 3, 7, 64])
+def test_windows_hold_each_n_gram_once(monkeypatch, window):
+    text = "Some  words, a fool!  And   MORE... words 123 ÄÖ 日本 " * 3
+    want = T.present(text)
+    monkeypatch.setattr(T, "WINDOW", window)
+    got = T.present(text)
+    assert got[0].tolist() == want[0].tolist() and got[1].tolist() == want[1].tolist()
+
+
+def test_executors_learn_what_a_local_run_does(spark, tables):
+    """Ratios, features and weights of the distributed fit against those of the same texts at hand, and ratios by definition."""
+    docs, labels = tables
+    rows = docs.join(labels.withColumnRenamed("doc_id", "i"), F.col("doc_id") == F.col("i")).where("toxic is not null").select("doc_id", "text", "toxic").distinct().collect()
+    local = T.train([r.text for r in rows], np.array([r.toxic for r in rows]))
+    model = T.fit(docs, labels)
+    assert set(np.flatnonzero(model.used)) == set(np.flatnonzero(local.used))
+    assert model.weights == pytest.approx(local.weights, abs=2e-3) and model.bias == pytest.approx(local.bias, abs=2e-3)  # rows are summed in another order
+    count = np.zeros((2, 1 << T.BITS))
+    for r in rows:
+        for b in {int(x) for part in T.hashed(r.text) for x in part}:
+            count[r.toxic, b] += 1
+    n1 = sum(r.toxic for r in rows)
+    kept, ratios = T.chosen(count, len(rows) - n1, n1, 50, 0.5)
+    for b, ratio in zip(kept, ratios, strict=True):
+        assert ratio == pytest.approx(np.log((count[1, b] + 0.5) / (n1 + 1) / ((count[0, b] + 0.5) / (len(rows) - n1 + 1))))
+
+
+def test_more_rows_than_the_bound(tables):
+    docs, labels = tables
+    assert T.fit(docs, labels, max_rows=100).used.any()
