@@ -5,14 +5,16 @@ a source the smallest keys are a weighted sample without replacement.  A source
 is S gives T // S complete epochs, then documents in order of their keys until the rest of its target is spent; the
 document at the edge is taken if that brings the source nearer to its target.  So a source's part of the mix is told
 by two numbers, its epochs and the key of its edge.  They come from sums over key ranges (cells), which tasks
-pre-aggregate; only the rows of the one cell of each source that holds the edge are sorted.
+pre-aggregate.  A cell is a 64th of a power of two of the key: whatever the weights, it has less than a hundredth of a
+source's rows, as its share of an exponential law is at most (key / 64) exp(-key).  The cell of each source that holds the
+edge is cut into FINE equal ones and these summed again; only the rows of one of those are sorted.
 
 Targets: sources share ``share`` of all words by their weights; a target stops at ``most`` times its source's size and
 the excess goes to the others by weight, until none is above.
 
 Defined cases: a null text has size 0 and is taken for 0 words; a null source is a source of its own, last in order;
-repeated rows (same id, same text) have the same key and are taken alike; empty tables give empty results; other
-columns are ignored by ``taken`` and kept by ``mix``.
+very long texts are counted where they are read; repeated rows (same id, same text) have the same key, are one row of
+sums, and are taken alike; empty tables give empty results; other columns are ignored by ``taken`` and kept by ``mix``.
 """
 
 from __future__ import annotations
@@ -28,8 +30,9 @@ MOST = 3
 SYMBOLS = "#$%&*|!^~<>={}[]@+"
 #: Up to so many sources, their table of edges is broadcast (a few MB); beyond it, joined by a shuffle.
 BROADCAST_SOURCES = 50_000
-#: Key ranges in which a source's rows are summed.
-CELLS = 4096
+#: Key ranges to a power of two, and in the one that holds the edge.
+CELLS = 64
+FINE = 4096
 _BITS = float(1 << 52)
 
 
@@ -74,29 +77,44 @@ def targets(sizes: DataFrame, share: float = 1.0, weights: tuple[float, ...] = W
     return shared.withColumn("target", target).select("source", "source_size", "weight", "target")
 
 
+def _parted(sums: DataFrame, cell: str) -> tuple[DataFrame, DataFrame]:
+    """From source, cell, total, last, before (what lies ahead of all these cells) and rest: source and key of the last
+    row of each cell that fits into the rest, and the cell of each source that holds the edge, with what is before it."""
+    ahead = Window.partitionBy("source").orderBy(cell).rowsBetween(Window.unboundedPreceding, -1)
+    placed = sums.withColumn("before", F.col("before") + F.coalesce(F.sum("total").over(ahead), F.lit(0)))
+    end = F.col("before") + F.col("total")
+    whole = placed.where(end <= F.col("rest")).select("source", F.col("last").alias("key"))
+    return whole, placed.where((F.col("before") < F.col("rest")) & (end > F.col("rest")))
+
+
 def edges(rows: DataFrame, share: float = 1.0, weights: tuple[float, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
     """From source, size and key of each document: per source its source_size, target, epochs and edge.
 
     A document is taken ``epochs`` times, and once more if its key is at most the edge (null: none is).
     """
-    # Cells are ranges of the key: 1 - exp(-key) is uniform for a weight of 1, and near it for others.
-    keyed = rows.withColumn("cell", F.floor((1 - F.exp(-F.col("key"))) * (CELLS - 1)).cast("int"))
+    power = F.floor(F.log2("key") * CELLS)
+    keyed = rows.withColumn("cell", power.cast("int"))
     cells = keyed.groupBy("source", "cell").agg(F.sum("size").alias("total"), F.max("key").alias("last"))
     goal = targets(cells.groupBy("source").agg(F.sum("total").cast("long").alias("source_size")), share, weights, most)
     size = F.col("source_size")
     goal = goal.withColumn("epochs", F.when(size > 0, F.floor(F.col("target") / size)).otherwise(F.lit(0)).cast("long"))
     goal = goal.withColumn("rest", F.col("target") - F.col("epochs") * size)
-    ahead = Window.partitionBy("source").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
-    placed = cells.withColumn("before", F.coalesce(F.sum("total").over(ahead), F.lit(0)))
     g = goal.select(F.col("source").alias("__source"), "rest")
-    placed = placed.join(g, F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
-    whole = placed.where(F.col("before") + F.col("total") <= F.col("rest")).select("source", F.col("last").alias("key"))
-    cut = placed.where((F.col("before") < F.col("rest")) & (F.col("before") + F.col("total") > F.col("rest")))
-    cut = cut.select(F.col("source").alias("__source"), F.col("cell").alias("__cell"), "before", "rest")
-    inside = keyed.join(cut, F.col("source").eqNullSafe(F.col("__source")) & (F.col("cell") == F.col("__cell")))
-    inside = inside.groupBy("source", "key").agg(F.sum("size").alias("size"), F.first("before").alias("before"), F.first("rest").alias("rest"))
+    placed = cells.withColumn("before", F.lit(0)).join(g, F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
+    whole, cut = _parted(placed, "cell")
+    at = cut.select(F.col("source").alias("__source"), F.col("cell").alias("__cell"), "before", "rest")
+    inside = keyed.join(at, F.col("source").eqNullSafe(F.col("__source")) & (F.col("cell") == F.col("__cell"))).drop("__source", "__cell")
+    start = F.pow(F.lit(2.0), F.col("cell") / CELLS)
+    fine = F.floor((F.col("key") / start - 1) / (2 ** (1 / CELLS) - 1) * FINE)
+    inside = inside.withColumn("fine", F.greatest(F.lit(0), F.least(F.lit(FINE - 1), fine)).cast("int"))
+    sums = inside.groupBy("source", "fine").agg(F.sum("size").alias("total"), F.max("key").alias("last"), F.first("before").alias("before"), F.first("rest").alias("rest"))
+    finely, cut = _parted(sums, "fine")
+    at = cut.select(F.col("source").alias("__source"), F.col("fine").alias("__fine"), F.col("before").alias("__before"))
+    inside = inside.join(at, F.col("source").eqNullSafe(F.col("__source")) & (F.col("fine") == F.col("__fine")))
+    inside = inside.groupBy("source", "key").agg(F.sum("size").alias("size"), F.first("__before").alias("before"), F.first("rest").alias("rest"))
     until = F.sum("size").over(Window.partitionBy("source").orderBy("key").rowsBetween(Window.unboundedPreceding, 0))
     inside = inside.withColumn("end", F.col("before") + until).where(F.col("end") - F.col("size") / 2 <= F.col("rest")).select("source", "key")
+    whole = whole.unionByName(finely)
     edge = whole.unionByName(inside).groupBy(F.col("source").alias("__source")).agg(F.max("key").alias("edge"))
     return goal.join(edge, F.col("source").eqNullSafe(F.col("__source")), "left").select("source", "source_size", "target", "epochs", "edge")
 

@@ -5,6 +5,7 @@ from collections import defaultdict
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from rostra.llm import mixing as M
 
@@ -79,3 +80,19 @@ def test_better_documents_are_taken_first(spark):
     out = M.taken(docs, weight, share=0.3).where("source = 'a' and taken > 0").collect()
     even = sum(r.doc_id % 2 == 0 for r in out)
     assert 20 < len(out) < 400 and even > 0.65 * len(out)
+
+
+@pytest.mark.parametrize("weight", [1.0, 0.1, 1e-6, 1e9])
+def test_cells_stay_small_whatever_the_weights(spark, weight):
+    rows = spark.range(20_000).select((-F.log(F.rand(3)) / weight).alias("key"), F.lit("a").alias("source"), F.lit(3).cast("long").alias("size"))
+    most = rows.groupBy(F.floor(F.log2("key") * M.CELLS)).count().agg(F.max("count")).first()[0]
+    assert most <= 0.01 * 20_000
+    rows = M.stored(rows, "rows")
+    more = spark.createDataFrame([(1.0 + i, "b", 7) for i in range(5)], "key double, source string, size long")
+    got = {r.source: r for r in M.edges(rows.select("source", "size", "key").unionByName(more.select("source", "size", "key"))).collect()}
+    for source, part in (("a", rows), ("b", more)):
+        keys = sorted(r.key for r in part.collect())
+        size = 3 if source == "a" else 7
+        rest = got[source].target - got[source].epochs * size * len(keys)
+        taken = [k for i, k in enumerate(keys) if size * (i + 1) - size / 2 <= rest]
+        assert got[source].edge == (taken[-1] if taken else None)
