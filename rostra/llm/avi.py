@@ -11,7 +11,9 @@ difference of neighbouring luma histograms exceeds an adaptive threshold (mean +
 window around it, and a floor).  ``clips`` turns a column of files into timed clip rows.
 
 Defined cases: a null payload counts as empty and is stored as one block of zeros; equal payloads give equal files;
-a file without frames yields no clips; a malformed one raises ValueError in ``parse`` and yields no clips in ``clips``.
+a file without frames yields no clips; a malformed one, or one without a frame rate, raises ValueError in ``parse`` and
+yields no clips in ``clips``; very long texts are files of many frames, made and read whole; empty tables give empty
+results; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -157,9 +159,13 @@ def parse(data: bytes) -> Movie:
             elif name == b"LIST":
                 walk(a + 4, b)
             elif name == b"avih":
+                if b - a < 40:
+                    raise ValueError("a short avih header")
                 movie.fps = 1e6 / max(1, struct.unpack_from("<I", view, a)[0])
                 movie.width, movie.height = struct.unpack_from("<II", view, a + 32)
             elif name == b"strh" and bytes(view[a : a + 4]) == b"vids":
+                if b - a < 28:
+                    raise ValueError("a short strh header")
                 scale, rate = struct.unpack_from("<II", view, a + 20)
                 movie.fps = rate / scale if scale and rate else movie.fps
             elif name == b"strd":
@@ -170,6 +176,8 @@ def parse(data: bytes) -> Movie:
     walk(12, min(len(data), 8 + struct.unpack_from("<I", data, 4)[0]))
     if movi is None:
         raise ValueError("no movi list")
+    if not movie.fps:
+        raise ValueError("no frame rate")
     is_video = lambda name: name[2:] in (b"dc", b"db")
     if index:
         base = movi[0]
@@ -368,8 +376,8 @@ def clips(files: DataFrame, column: str = "media", key: str = "doc_id") -> DataF
                 try:
                     movie = parse(data.as_py() or b"")
                     first = shots([decode_frame(f)[1] for f in movie.frames])
-                except (ValueError, KeyError, IndexError, StopIteration, RuntimeError, struct.error):
-                    continue
+                except (ValueError, KeyError, IndexError, StopIteration, RuntimeError, TypeError, AttributeError, struct.error):
+                    continue  # a frame may be malformed in any way
                 for n, (a, b) in enumerate(zip(first, [*first[1:], len(movie.frames)], strict=True)):
                     rows.append((k, n, a, b - 1, a / movie.fps, b / movie.fps))
             cols = list(zip(*rows, strict=True)) or [[]] * 6

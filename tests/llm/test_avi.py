@@ -98,3 +98,17 @@ def test_digests(spark):
 def test_feature_lists_all_cuts(monkeypatch):
     monkeypatch.setattr(A, "shots", lambda pictures: list(range(100)))
     assert f";cuts={','.join(map(str, range(100)))};" in A.digest(b"text")[-1]
+
+
+def test_malformed_files_yield_no_clips(spark):
+    good = A.write(b"some text " * 2000)
+    at = good.index(b"avih")
+    no_rate = good.replace(good[at + 8 : at + 12], b"\0\0\0\0", 1)
+    short = good[: at + 4] + (8).to_bytes(4, "little") + good[at + 8 : at + 16] + good[at + 8 + 56 :]
+    empty = b"RIFF" + (16).to_bytes(4, "little") + b"AVI LIST" + (4).to_bytes(4, "little") + b"movi"
+    for bad in (short, empty, good[:200], b"RIFF", b""):
+        with pytest.raises(ValueError):
+            A.parse(bad)
+    rows = [(k, b) for k, b in enumerate([good, no_rate, short, empty, good[:200], b"", None, good.replace(b"\xff\xda", b"\xff\xd9")])]
+    out = A.clips(spark.createDataFrame([(k, bytearray(b) if b is not None else None) for k, b in rows], "doc_id long, media binary")).collect()
+    assert {r.doc_id for r in out} <= {0, 1} and any(r.doc_id == 0 for r in out)
