@@ -25,7 +25,8 @@ shingles: by bottom-k sketches where these are exact (up to 256 shingles) or set
 error of 0.025 at 0.8), else, within five standard errors of the limit, by the whole sets.
 
 Only links that pass the check join trees.  In HUBS rounds the members of a key meet one of them, where they aren't in
-its tree yet, which settles large groups in linear time; what is then still apart within a key is compared pair by pair.
+its tree yet, which settles large groups in linear time; what is then still apart within a key is compared pair by pair
+in the key's task, by the shared minima and then the sketches, and only links leave it.
 """
 
 from __future__ import annotations
@@ -269,27 +270,39 @@ def text_node() -> Column:
     return F.xxhash64(F.coalesce("text", F.lit("")))
 
 
-def _apart(live: DataFrame) -> DataFrame:
-    """u, v: pairs of nodes of one key (key, node, root, bands) in different trees that share enough minima."""
+def _apart(live: DataFrame, least: float) -> DataFrame:
+    """u, v, unsure: links of nodes of one key (key, node, root, bands, hashes) that join different trees, where sketches
+    settle it, and the pairs that they leave unsure.  Pairs that aren't similar go no further than their key's task."""
 
     def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for members in batch.column(0):
                 m = members.values
-                node, root = m.field("node").to_numpy(), m.field("root").to_numpy()
+                node, root = m.field("node").to_numpy(), m.field("root").to_numpy().copy()
                 low = m.field("bands").flatten().to_numpy().view(np.uint16).reshape(len(node), -1)
+                hashes = [x.values.to_numpy() for x in m.field("hashes")]
+                u, v, unsure = [], [], []
                 for i in range(len(node) - 1):
                     j = i + 1 + np.flatnonzero(root[i + 1 :] != root[i])
-                    j = j[(low[j] == low[i]).sum(axis=1) >= SHARED_MINIMA]
-                    if len(j):
-                        u, v = np.minimum(node[i], node[j]), np.maximum(node[i], node[j])
-                        yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
-
-    return live.groupBy("key").agg(F.collect_list(F.struct("node", "root", "bands")).alias("m")).select("m").mapInArrow(met, "u long, v long").distinct()
-
-
-def _checker(docs: DataFrame, asked: DataFrame, least: float) -> Callable[[DataFrame], DataFrame]:
-    """What gives, of pairs (u, v) of the asked nodes, those whose texts are similar."""
+                    for k in j[(low[j] == low[i]).sum(axis=1) >= SHARED_MINIMA].tolist():
+                        if root[k] == root[i]:
+                            continue
+                        guess = similarity(hashes[i], hashes[k])
+                        doubt = max(len(hashes[i]), len(hashes[k])) >= SKETCH and abs(guess - least) <= UNSURE
+                        if doubt or guess >= least:
+                            u.append(min(node[i], node[k]))
+                            v.append(max(node[i], node[k]))
+                            unsure.append(doubt)
+                        if not doubt and guess >= least:
+                            root[root == root[k]] = root[i]
+                yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64()), pa.array(unsure, pa.bool_())], ["u", "v", "unsure"])
+
+    return live.groupBy("key").agg(F.collect_list(F.struct("node", "root", "bands", "hashes")).alias("m")).select("m").mapInArrow(met, "u long, v long, unsure boolean").distinct()
+
+
+def _checker(docs: DataFrame, asked: DataFrame, least: float) -> tuple[Callable[[DataFrame], DataFrame], DataFrame, Callable[[DataFrame], DataFrame]]:
+    """What gives, of pairs (u, v) of the asked nodes, those whose texts are similar; their sketches; and of what was
+    found (u, v, unsure) the sure pairs and those of the others that are similar by their whole sets."""
     held = F.broadcast(asked) if asked.count() <= BROADCAST_ROWS else asked
     texts = docs.select(text_node().alias("node"), "text").join(held, F.col("node") == F.col("__node"), "left_semi")
     made = stored(_mapped(texts, lambda t: sketch(t).tolist(), "hashes array<long>").groupBy("node").agg(F.first("hashes").alias("hashes")), "drawn-sketches")
@@ -318,11 +331,13 @@ def _checker(docs: DataFrame, asked: DataFrame, least: float) -> Callable[[DataF
 
     def check(pairs: DataFrame) -> DataFrame:
         joined = pairs.join(s1, F.col("u") == F.col("n1")).join(s2, F.col("v") == F.col("n2")).select("u", "v", "h1", "h2")
-        found = stored(joined.mapInArrow(checked, "u long, v long, unsure boolean"), "drawn-checked")
+        return settled(stored(joined.mapInArrow(checked, "u long, v long, unsure boolean"), "drawn-checked"))
+
+    def settled(found: DataFrame) -> DataFrame:
         clear, unsure = found.where("not unsure").select("u", "v"), found.where("unsure").select("u", "v")
         return clear.unionByName(whole(unsure)) if unsure.take(1) else clear
 
-    return check
+    return check, made, settled
 
 
 def similar(docs: DataFrame, least: float = SIMILAR, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
@@ -344,7 +359,7 @@ def similar(docs: DataFrame, least: float = SIMILAR, hot: int = HOT) -> tuple[Da
     sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").withColumnRenamed("key", "__key")
     members = stored(keyed.join(sizes, F.col("key") == F.col("__key")).select("key", "node", "n"), "drawn-members")
     asked = drawn_pairs.select(F.col("u").alias("__node")).unionByName(drawn_pairs.select(F.col("v").alias("__node"))).unionByName(members.select(F.col("node").alias("__node")))
-    check = _checker(docs, stored(asked.distinct(), "drawn-asked"), least)
+    check, sketches, settled = _checker(docs, stored(asked.distinct(), "drawn-asked"), least)
 
     linked, live = check(drawn_pairs), members
     for turn in range(HUBS + 1):
@@ -359,7 +374,10 @@ def similar(docs: DataFrame, least: float = SIMILAR, hot: int = HOT) -> tuple[Da
             pairs = live.where("root <> hub_root").select(F.least("node", "hub").alias("u"), F.greatest("node", "hub").alias("v")).distinct()
             live = live.where("n > 2")  # the members of others have all met
         else:
-            pairs = _apart(live.join(bands.withColumnRenamed("node", "__node"), F.col("node") == F.col("__node")))
+            held = live.join(bands.withColumnRenamed("node", "__node"), F.col("node") == F.col("__node")).drop("__node")
+            held = held.join(sketches.withColumnRenamed("node", "__node"), F.col("node") == F.col("__node"))
+            linked = stored(linked.unionByName(settled(stored(_apart(held, least), "drawn-apart"))), "drawn-linked")
+            break
         linked = stored(linked.unionByName(check(stored(pairs, "drawn-pairs"))), "drawn-linked")
     return rows.select("doc_id", "node"), linked
 
