@@ -52,18 +52,27 @@ SEGMENTS = 4
 HOT = 2048
 
 
-def fingerprint(text: bytes | None, width: int = SHINGLE) -> int:
-    """The 64 bits of a text as a signed number."""
-    words = (text or b"").lower().split()
-    if not words:
-        return 0
+def _digests(words: list[bytes], width: int) -> np.ndarray:
+    """The hashes of all shingles of a text, in order, as big-endian numbers; digests of 65,536 are held at once."""
     line = b" ".join(words)
     lengths = np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(lengths + 1) - 1
     first = (ends - lengths)[: max(1, len(words) - width + 1)]
     last = ends[min(width, len(words)) - 1 :]
+    out = np.empty(len(first), ">u8")
     digest = xxhash.xxh64_digest
-    hashes = np.frombuffer(b"".join([digest(line[a:b], SEED) for a, b in zip(first.tolist(), last.tolist(), strict=True)]), np.uint8).reshape(-1, 8)
+    for at in range(0, len(first), 65_536):
+        a, b = first[at : at + 65_536].tolist(), last[at : at + 65_536].tolist()
+        out[at : at + 65_536] = np.frombuffer(b"".join([digest(line[i:j], SEED) for i, j in zip(a, b, strict=True)]), ">u8")
+    return out
+
+
+def fingerprint(text: bytes | None, width: int = SHINGLE) -> int:
+    """The 64 bits of a text as a signed number."""
+    words = (text or b"").lower().split()
+    if not words:
+        return 0
+    hashes = _digests(words, width).view(np.uint8).reshape(-1, 8)
     count = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 8192):
         count += np.unpackbits(hashes[at : at + 8192], axis=1).sum(axis=0, dtype=np.uint16)
@@ -196,6 +205,8 @@ WORDS_OF_A_SHINGLE = 5
 SKETCH = 256
 #: Estimates so near to the limit settle nothing: five standard errors.
 UNSURE = 0.125
+#: Numbers that a part of a mapped batch holds (8 MiB), beyond which it ends with its row.
+MAPPED = 1 << 20
 #: Up to so many rows that go are broadcast (24 bytes each); beyond it, they are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 #: Keys of a text, of four minima each, and rounds in which the members of a key meet one of them.
@@ -218,16 +229,16 @@ def drawn(text: bytes | None) -> list[int]:
     for c in _DRAWN:
         x = (h ^ (h >> np.uint64(31))) * c
         x ^= x >> np.uint64(29)
-        bits = np.unpackbits(x.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
-        out.append(int(np.packbits(2 * (weight @ bits) > weight.sum()).view(">i8")[0]))
+        for_one = np.zeros(64)
+        for at in range(0, len(x), 8192):
+            for_one += weight[at : at + 8192] @ np.unpackbits(x[at : at + 8192].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+        out.append(int(np.packbits(2 * for_one > weight.sum()).view(">i8")[0]))
     return out
 
 
 def shingles(text: bytes | None, width: int = WORDS_OF_A_SHINGLE) -> np.ndarray:
-    """The hashes of a text's set of shingles."""
-    words = (text or b"").lower().split()
-    found = {b" ".join(words[i : i + width]) for i in range(max(1, len(words) - width + 1))}
-    return np.frombuffer(b"".join([xxhash.xxh64_digest(s, SEED) for s in found]), ">i8").astype(np.int64)
+    """The hashes of a text's set of shingles, in order."""
+    return np.unique(_digests((text or b"").lower().split() or [b""], width).astype(np.uint64).view(np.int64))
 
 
 def banded(text: bytes | None) -> list[int]:
@@ -243,7 +254,7 @@ def banded(text: bytes | None) -> list[int]:
 
 def sketch(text: bytes | None, width: int = WORDS_OF_A_SHINGLE, size: int = SKETCH) -> np.ndarray:
     """The ``size`` smallest hashes of a text's set of shingles, in order."""
-    return np.sort(shingles(text, width))[:size]
+    return shingles(text, width)[:size]
 
 
 def similarity(a: np.ndarray, b: np.ndarray, size: int = SKETCH) -> float:
@@ -254,13 +265,20 @@ def similarity(a: np.ndarray, b: np.ndarray, size: int = SKETCH) -> float:
 
 
 def _mapped(df: DataFrame, f: Callable, schema: str) -> DataFrame:
-    """Apply f to each row's bytes in the last column; other columns stay."""
+    """Apply f to each row's bytes in the last column; other columns stay.  A batch leaves in parts of about MAPPED numbers."""
     names = df.columns[:-1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = [f(t.as_py()) for t in batch.column(len(names)).cast(pa.binary())]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(values, pa.list_(pa.int64()))], [*names, "value"])
+            texts, values, held = batch.column(len(names)).cast(pa.binary()), [], 0
+            for i in range(batch.num_rows):
+                values.append(np.asarray(f(texts[i].as_py()), np.int64))
+                held += len(values[-1])
+                if held >= MAPPED or i + 1 == batch.num_rows:
+                    ends = np.cumsum([0, *map(len, values)]).astype(np.int32)
+                    part = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(values)))
+                    yield pa.RecordBatch.from_arrays([*(c.slice(i + 1 - len(values), len(values)) for c in batch.columns[:-1]), part], [*names, "value"])
+                    values, held = [], 0
 
     return df.mapInArrow(run, ", ".join([*(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in names), schema]))
 
@@ -305,7 +323,7 @@ def _checker(docs: DataFrame, asked: DataFrame, least: float) -> tuple[Callable[
     found (u, v, unsure) the sure pairs and those of the others that are similar by their whole sets."""
     held = F.broadcast(asked) if asked.count() <= BROADCAST_ROWS else asked
     texts = docs.select(text_node().alias("node"), "text").join(held, F.col("node") == F.col("__node"), "left_semi")
-    made = stored(_mapped(texts, lambda t: sketch(t).tolist(), "hashes array<long>").groupBy("node").agg(F.first("hashes").alias("hashes")), "drawn-sketches")
+    made = stored(_mapped(texts, sketch, "hashes array<long>").groupBy("node").agg(F.first("hashes").alias("hashes")), "drawn-sketches")
     s1, s2 = (made.select(F.col("node").alias(f"n{k}"), F.col("hashes").alias(f"h{k}")) for k in (1, 2))
 
     def checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -323,7 +341,7 @@ def _checker(docs: DataFrame, asked: DataFrame, least: float) -> tuple[Callable[
         ids = stored(pairs.select(F.col("u").alias("__node")).unionByName(pairs.select(F.col("v").alias("__node"))).distinct(), "drawn-unsure")
         ids = F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
         long = docs.select(text_node().alias("node"), "text").join(ids, F.col("node") == F.col("__node"), "left_semi")
-        sets = stored(_mapped(long.dropDuplicates(["node"]), lambda t: shingles(t).tolist(), "hashes array<long>"), "drawn-shingles")
+        sets = stored(_mapped(long.dropDuplicates(["node"]), shingles, "hashes array<long>"), "drawn-shingles")
         w1, w2 = (sets.select(F.col("node").alias(f"n{k}"), F.col("hashes").alias(f"h{k}")) for k in (1, 2))
         both = pairs.join(w1, F.col("u") == F.col("n1")).join(w2, F.col("v") == F.col("n2"))
         common = F.size(F.array_intersect("h1", "h2"))
