@@ -123,30 +123,32 @@ def op5_kneser_ney_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op2_warc_merkle_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All pages as WARC records, against a replica in which a fiftieth of the records is damaged and a few are lost.
+    """All pages as records of an archive, against a replica in which a fiftieth of the records is damaged and a few are lost.
 
-    Damage and loss are decided by each record's number, so that the audit has something to find at every size.
+    Both archives are written and read back.  Each record's number decides damage and loss, so that the audit has
+    something to find at every size.
     """
     pages = table(spark, sf_dir, "pages")
-    rows = stored(warc.records(pages), "warc")
-    damaged = F.when(warc.number() % 50 == 7, F.concat(F.lit("V"), F.substring(warc.record_text(), 2, 1 << 30))).otherwise(warc.record_text())
-    replica = warc.records(pages, damaged).where("number % 211 <> 3")
-    out = warc.audited(rows, replica)
+    kind = pages.schema["page_id"].dataType.simpleString()
+    first = warc.archive(pages)
+    rows = stored(warc.read(spark, first, kind), "warc-first")
+    damaged = F.when(warc.number() % 50 == 7, F.replace("record", F.lit("\r\nContent-Type: text/html\r\n"), F.lit("\r\nContent-Type: text/htmL\r\n"))).otherwise(F.col("record"))
+    second = warc.replica(spark, first, damaged, warc.number() % 211 == 3)
+    out = warc.audited(rows, stored(warc.read(spark, second, kind), "warc-second"))
     return out.select("page_id", F.col("file").alias("warc_file"), F.col("offset").alias("record_offset"), F.col("length").alias("record_length"), F.col("hash").alias("record_sha256"), "status")
 
 
 ORACLE_SQL["op2_warc_merkle_audit"] = r"""
 with made as (
   select page_id, concat('WARC/1.0', chr(13), chr(10), 'WARC-Type: resource', chr(13), chr(10), 'WARC-Record-ID: <urn:page:',
-      coalesce(cast(page_id as varchar), 'null'), '>', chr(13), chr(10), 'WARC-Target-URI: ', coalesce(url, ''), chr(13), chr(10),
+      coalesce(cast(page_id as varchar), 'null'), '>', chr(13), chr(10), 'WARC-Target-URI: ', replace(replace(coalesce(url, ''), chr(13), '%0D'), chr(10), '%0A'), chr(13), chr(10),
       'Content-Type: text/html', chr(13), chr(10), 'Content-Length: ', strlen(coalesce(html, '')), chr(13), chr(10), chr(13), chr(10),
-      coalesce(html, ''), chr(13), chr(10), chr(13), chr(10)) as record,
-    ('0x' || substr(md5(coalesce(cast(page_id as varchar), 'null')), 1, 13))::bigint as number
+      coalesce(html, ''), chr(13), chr(10), chr(13), chr(10)) as record
   from pages),
-hashed as (select page_id, number, strlen(record)::bigint as length, sha256(record) as hash from made),
-dealt as (select *, (number % (select greatest(1, ceil(sum(length) / 67108864.0))::bigint from hashed))::int as file from hashed)
+hashed as (select page_id, record, ('0x' || substr(md5(record), 1, 13))::bigint as number, strlen(record)::bigint as length, sha256(record) as hash from made),
+dealt as (select *, (number % (select greatest(1, ceil(sum(length) / 16777216.0))::bigint from hashed))::int as file from hashed)
 select page_id, file as warc_file,
-  coalesce(sum(length) over (partition by file order by number, page_id, hash rows between unbounded preceding and 1 preceding), 0)::bigint as record_offset,
+  coalesce(sum(length) over (partition by file order by number, record rows between unbounded preceding and 1 preceding), 0)::bigint as record_offset,
   length as record_length, hash as record_sha256,
   case when number % 211 = 3 then 'missing' when number % 50 = 7 then 'changed' else 'ok' end as status
 from dealt
