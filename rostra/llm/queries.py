@@ -145,7 +145,8 @@ with made as (
       'Content-Type: text/html', chr(13), chr(10), 'Content-Length: ', strlen(coalesce(html, '')), chr(13), chr(10), chr(13), chr(10),
       coalesce(html, ''), chr(13), chr(10), chr(13), chr(10)) as record
   from pages),
-hashed as (select page_id, record, ('0x' || substr(md5(record), 1, 13))::bigint as number, strlen(record)::bigint as length, sha256(record) as hash from made),
+hashed as (
+  select *, ('0x' || substr(hash, 1, 13))::bigint as number from (select page_id, record, strlen(record)::bigint as length, sha256(record) as hash from made)),
 dealt as (select *, (number % (select greatest(1, ceil(sum(length) / 16777216.0))::bigint from hashed))::int as file from hashed)
 select page_id, file as warc_file,
   coalesce(sum(length) over (partition by file order by number, record rows between unbounded preceding and 1 preceding), 0)::bigint as record_offset,

@@ -62,16 +62,17 @@ def record_text() -> Column:
     )
 
 
-def number(record: str = "record") -> Column:
-    """52 bits that the record's bytes decide."""
-    return F.conv(F.substring(F.md5(record), 1, 13), 16, 10).cast("long")
+def number(digest: Column | str = "hash") -> Column:
+    """52 bits that the record's bytes decide, from their hash."""
+    return F.conv(F.substring(digest, 1, 13), 16, 10).cast("long")
 
 
 def _written(records: DataFrame, name: str) -> str:
     """Write rows (file, record), which already stand by file and place, as a file for each ``file``; the folder."""
     path = f"{shared_dir(records.sparkSession)}/{name}-{uuid.uuid4().hex}"
     text = F.expr(f"left(record, length(record) - {len(END)})")
-    records.select("file", text.alias("value")).write.partitionBy("file").option("lineSep", END).option("compression", "gzip").text(path)
+    packed = {"lineSep": END, "compression": "gzip", "zlib.compress.level": "BEST_SPEED"}
+    records.select("file", text.alias("value")).write.partitionBy("file").options(**packed).text(path)
     return path
 
 
@@ -81,7 +82,7 @@ def archive(pages: DataFrame, file_bytes: int = FILE_BYTES) -> str:
     total = made.agg(F.coalesce(F.sum(F.octet_length("record").cast("long")), F.lit(0))).first()[0]
     files = max(1, -(-total // file_bytes))
     # The number's low part chooses the file, and all of it the place there.
-    dealt = made.withColumn("number", number()).withColumn("file", F.pmod("number", F.lit(files)).cast("int"))
+    dealt = made.withColumn("number", number(F.sha2("record", 256))).withColumn("file", F.pmod("number", F.lit(files)).cast("int"))
     return _written(dealt.repartition(min(files, WRITERS), "file").sortWithinPartitions("file", "number", "record"), "warc-archive")
 
 
