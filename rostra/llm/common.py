@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -46,6 +48,23 @@ def forget(df: DataFrame) -> None:
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def trim() -> None:
+    """Give memory that this process has freed back to the system: Python workers are used again, and keep it otherwise."""
+    pa.default_memory_pool().release_unused()
+    give_back = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if give_back:
+        give_back(0)
+
+
+def trimmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches, with a trim after each and at their end."""
+    for batch in batches:
+        yield batch
+        del batch
+        trim()
+    trim()
+
+
 def byte_size(column: str) -> Column:
     """UTF-8 bytes of a string column; null counts as empty."""
     return F.coalesce(F.octet_length(column), F.lit(0)).cast("long")

@@ -38,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rostra.llm.common import forget, stored
+from rostra.llm.common import forget, stored, trim, trimmed
 
 ORDER = 6
 #: N-grams of the highest order in one shard of the model, which is what a Python worker holds at a time.
@@ -117,7 +117,7 @@ def top_counts(texts: DataFrame, order: int = ORDER) -> DataFrame:
         for at in range(0, len(keys), 100_000):
             yield pa.RecordBatch.from_arrays([pa.array(keys[at : at + 100_000]), pa.array(sums[at : at + 100_000])], ["gram", "raw"])
 
-    return texts.select("text").mapInArrow(counted, "gram long, raw long").groupBy("gram").agg(F.sum("raw").alias("raw"))
+    return texts.select("text").mapInArrow(lambda batches: trimmed(counted(batches)), "gram long, raw long").groupBy("gram").agg(F.sum("raw").alias("raw"))
 
 
 def all_orders(top: DataFrame, order: int = ORDER) -> DataFrame:
@@ -297,7 +297,7 @@ def dealt(rows: DataFrame, starts: np.ndarray, order: int = ORDER) -> DataFrame:
             body = [n[p].astype(np.int8).tobytes() + gram[p].tobytes() + own[p].tobytes() for p in pieces]
             yield _rows(part[ends - 1].tolist(), [_MODEL] * len(body), body)
 
-    return rows.select("n", "gram", "own").mapInArrow(run, "part int, chunk long, body binary")
+    return rows.select("n", "gram", "own").mapInArrow(lambda batches: trimmed(run(batches)), "part int, chunk long, body binary")
 
 
 def chunked(docs: DataFrame, names: list[str]) -> DataFrame:
@@ -332,7 +332,7 @@ def chunked(docs: DataFrame, names: list[str]) -> DataFrame:
         if held:
             yield made()
 
-    return docs.select(*names).mapInArrow(run, "chunk long, body binary")
+    return docs.select(*names).mapInArrow(lambda batches: trimmed(run(batches)), "chunk long, body binary")
 
 
 def _unpacked(body: bytes) -> pa.Table:
@@ -381,13 +381,17 @@ def asked(chunks: DataFrame, starts: np.ndarray, order: int = ORDER) -> DataFram
                     if held > 2_000_000:
                         grams, fresh, held = np.unique(np.concatenate([grams, *fresh])), [], 0
                 grams = np.unique(np.concatenate([grams, *fresh]))
-                part = np.searchsorted(starts, backwards(grams, order, order), "right")
+                fresh = []
+                part = np.searchsorted(starts, backwards(grams, order, order), "right").astype(np.int32)
                 by = np.argsort(part, kind="stable")
-                ends = np.flatnonzero(np.append(part[by][1:] != part[by][:-1], True)) + 1 if len(by) else []
+                part = part[by]
+                ends = np.flatnonzero(np.append(part[1:] != part[:-1], True)) + 1 if len(by) else []
                 pieces = [by[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)] if len(by) else []
-                yield _rows([int(part[p[0]]) for p in pieces], [chunk] * len(pieces), [_squeezed(grams[p]) for p in pieces])
+                out = _rows([int(part[e - 1]) for e in ends], [chunk] * len(pieces), [_squeezed(grams[p]) for p in pieces])
+                del grams, part, by, pieces
+                yield out
 
-    return chunks.mapInArrow(run, "part int, chunk long, body binary")
+    return chunks.mapInArrow(lambda batches: trimmed(run(batches)), "part int, chunk long, body binary")
 
 
 def answered(sent: DataFrame, order: int = ORDER) -> DataFrame:
@@ -402,6 +406,7 @@ def answered(sent: DataFrame, order: int = ORDER) -> DataFrame:
             for part, chunk, body in zip(batch.column("part").to_pylist(), batch.column("chunk").to_pylist(), batch.column("body"), strict=True):
                 if part != now:
                     now, pieces, model = part, [], None
+                    trim()
                 raw = body.as_py()
                 if chunk == _MODEL:
                     pieces.append(raw)
@@ -410,6 +415,8 @@ def answered(sent: DataFrame, order: int = ORDER) -> DataFrame:
                     model, pieces = interpolated(order, *_columns(pieces)), []
                 values = model.log_probabilities(_spread(raw)).astype(np.float32)
                 yield _rows([part], [chunk], [struct.pack("<q", len(raw)) + raw + _packed(values)])
+        now, pieces, model = None, [], None
+        trim()
 
     return sent.mapInArrow(run, "part int, chunk long, body binary")
 
@@ -464,6 +471,8 @@ def perplexities(docs: DataFrame, trained: DataFrame | None, keep: tuple[str, ..
                 total -= np.bincount(owner, values[at][inverse], table.num_rows)
             cols = [table.column(k).combine_chunks() for k in keep]
             out.append(pa.Table.from_arrays([*cols, pa.array(count), pa.array(total / np.maximum(count, 1))], [*keep, "n_symbols", "log_ppl"]))
+        del grams, values
+        trim()
         return pa.concat_tables(out) if out else pa.table({})
 
     schema = ", ".join([*(f"`{k}` {t}" for k, t in kinds.items()), "n_symbols long, log_ppl double"])

@@ -42,7 +42,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rostra.llm.components import components
-from rostra.llm.common import stored
+from rostra.llm.common import stored, trimmed
 
 SHINGLE = 3
 DIFFER = 3
@@ -280,7 +280,7 @@ def _mapped(df: DataFrame, f: Callable, schema: str) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([*(c.slice(i + 1 - len(values), len(values)) for c in batch.columns[:-1]), part], [*names, "value"])
                     values, held = [], 0
 
-    return df.mapInArrow(run, ", ".join([*(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in names), schema]))
+    return df.mapInArrow(lambda batches: trimmed(run(batches)), ", ".join([*(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in names), schema]))
 
 
 def text_node() -> Column:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rostra.llm.common import forget, stored
+from rostra.llm.common import forget, stored, trimmed
 
 ORDERS = (3, 4, 5, 6)
 BITS = 20
@@ -191,7 +191,7 @@ def fit(docs: DataFrame, labels: DataFrame, allowed: Column | None = None, max_r
             yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int32)), pa.array(count[0, k]), pa.array(count[1, k])], ["bucket", "n0", "n1"])
 
     texts = rows.select("__toxic", "text")
-    sums = texts.mapInArrow(counted, "bucket int, n0 long, n1 long").groupBy("bucket").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    sums = texts.mapInArrow(lambda batches: trimmed(counted(batches)), "bucket int, n0 long, n1 long").groupBy("bucket").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
     sums = sums.where(F.col("n0") + F.col("n1") >= LEAST).toArrow()  # 2 ** BITS rows at most
     count = np.zeros((2, 1 << BITS), dtype=np.int64)
     count[:, sums.column("bucket").to_numpy()] = [sums.column("n0").to_numpy(), sums.column("n1").to_numpy()]
@@ -204,7 +204,7 @@ def fit(docs: DataFrame, labels: DataFrame, allowed: Column | None = None, max_r
             lists = [pa.array([f[k].astype(np.int32) for f in found], pa.list_(pa.int32())) for k in (0, 1)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], *lists], ["id", "own", "toxic", "at", "often"])
 
-    held = rows.select("id", "own", "__toxic", "text").mapInArrow(picked, "id long, own long, toxic int, at array<int>, often array<int>")
+    held = rows.select("id", "own", "__toxic", "text").mapInArrow(lambda batches: trimmed(picked(batches)), "id long, own long, toxic int, at array<int>, often array<int>")
     held = held.orderBy("id", "own").toArrow().combine_chunks()  # max_rows rows of max_features numbers at most
     forget(rows)
     lists = [(a.values.to_numpy(), o.values.to_numpy()) for a, o in zip(held.column("at"), held.column("often"), strict=True)]
@@ -288,7 +288,7 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) ->
             yield pa.RecordBatch.from_arrays([*(batch.column(names.index(k)) for k in keep), pa.array(values, pa.float64())], [*keep, "score"])
 
     schema = ", ".join([*(f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keep), "score double"])
-    return docs.select(*names).mapInArrow(scored, schema)
+    return docs.select(*names).mapInArrow(lambda batches: trimmed(scored(batches)), schema)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, allowed: Column | None = None, threshold: float = THRESHOLD, max_rows: int = MAX_ROWS) -> DataFrame:
