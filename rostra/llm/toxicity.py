@@ -211,72 +211,6 @@ def fit(docs: DataFrame, labels: DataFrame, allowed: Column | None = None, max_r
     return learnt(lists, (held.column("toxic").to_numpy() > 0).astype(np.float64), kept, r)
 
 
-def score(self, text: str | None) -> float:
-        used = self.weights != 0 if self.used is None else self.used
-        hit = np.concatenate([np.zeros(0, dtype=np.intp), *(b[used[b]] for b in hashed(text))])
-        found, often = np.unique(hit, return_counts=True)
-        at = self.bias + float((self.weights[found] * np.log2(1.0 + often)).sum())
-        return float(1 / (1 + np.exp(-np.clip(at, -60, 60))))
-
-
-def train(texts: list[str | None], toxic: np.ndarray, max_features: int = 10_000, alpha: float = 0.5, l2: float = 0.002, rounds: int = 200) -> Model:
-    """NB-scaled logistic regression.  Of the buckets, the max_features with the surest ratios are kept."""
-    y = np.asarray(toxic, dtype=np.float64)
-    none = np.zeros(1 << BITS, dtype=np.float32)
-    if not len(y) or y.min() == y.max():
-        share = float(y.mean()) if len(y) else 0.0
-        return Model(none, float(np.clip(np.log(max(share, 1e-9) / max(1 - share, 1e-9)), -20, 20)))
-    count = np.zeros((2, 1 << BITS), dtype=np.int32)
-    for t, label in zip(texts, y, strict=True):
-        count[int(label), present(t)[0]] += 1
-    n1, n0 = y.sum(), len(y) - y.sum()
-    r = np.log((count[1] + alpha) / (n1 + 2 * alpha)) - np.log((count[0] + alpha) / (n0 + 2 * alpha))
-    sure = np.abs(r) / np.sqrt(1 / (count[1] + alpha) + 1 / (count[0] + alpha))
-    sure[(count.sum(0) < 3) | (sure < 2.5)] = 0
-    kept = np.sort(np.argsort(-sure, kind="stable")[:max_features])
-    kept = kept[sure[kept] > 0]
-    place = np.full(1 << BITS, -1, dtype=np.int32)
-    place[kept] = np.arange(len(kept))
-    held = []
-    for t in texts:  # again, as all buckets of all texts would take much more memory than those kept
-        h, c = present(t)
-        used = place[h] >= 0
-        held.append((place[h[used]], c[used]))
-    row = np.repeat(np.arange(len(held)), [len(h) for h, _ in held])
-    col, often = (np.concatenate([x[k] for x in held]) for k in (0, 1))
-    del held
-    value = r[kept][col] * np.log2(1.0 + often)
-    cost = np.where(y == 1, 0.5 / n1, 0.5 / n0) * len(y)
-    w, bias = np.zeros(len(kept)), 0.0
-    m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
-    for t in range(1, rounds + 1):
-        z = bias + np.bincount(row, value * w[col], len(y))
-        e = cost * (1 / (1 + np.exp(-np.clip(z, -60, 60))) - y) / len(y)
-        g, gb = np.bincount(col, value * e[row], len(kept)) + l2 * w / len(kept), e.sum()
-        m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
-        mb, vb = 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb * gb
-        step = 0.02 / (1 + t / 100)
-        w -= step * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
-        bias -= step * (mb / (1 - 0.9**t)) / (np.sqrt(vb / (1 - 0.99**t)) + 1e-8)
-    weights = none
-    weights[kept] = (r[kept] * w).astype(np.float32)
-    return Model(weights, float(bias), weights != 0)
-
-
-def fit(docs: DataFrame, labels: DataFrame, allowed: Column | None = None, max_rows: int = MAX_ROWS) -> Model:
-    """Learn from at most max_rows labelled rows for which ``allowed`` (a condition on labels' columns) holds.
-
-    The rows are those whose hashed doc_id is smallest, so reruns and any partitioning agree.  Their ids are at most
-    max_rows and so are broadcast; their texts come to the driver, which trains.
-    """
-    known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull())
-    known = known.where(allowed) if allowed is not None else known
-    chosen = known.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
-    chosen = chosen.select(F.col("doc_id").alias("__id"), F.col("toxic").alias("__toxic"))
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("__id")).select("doc_id", "text", "__toxic").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(max_rows).toPandas()
-    return train(list(rows["text"]), rows["__toxic"].to_numpy())
-
-
 def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns ``keep`` and score (0 to 1, higher: toxic likelier), a row for each row of docs, from its whole text."""
     shared = docs.sparkSession.sparkContext.broadcast(model)

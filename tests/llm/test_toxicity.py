@@ -86,3 +86,15 @@ def test_executors_learn_what_a_local_run_does(spark, tables):
 def test_more_rows_than_the_bound(tables):
     docs, labels = tables
     assert T.fit(docs, labels, max_rows=100).used.any()
+
+
+def test_each_function_is_defined_once():
+    import ast
+    import collections
+    import pathlib
+
+    import rostra.llm
+
+    for path in pathlib.Path(rostra.llm.__path__[0]).glob("*.py"):
+        names = collections.Counter(n.name for n in ast.parse(path.read_text()).body if isinstance(n, ast.FunctionDef | ast.ClassDef))
+        assert max(names.values(), default=1) == 1, path
