@@ -88,7 +88,7 @@ def fingerprints(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
             fps = [fingerprint(t.as_py(), width) for t in batch.column(1).cast(pa.binary())]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], ["doc_id", "fp"])
 
-    return docs.select("doc_id", "text").mapInArrow(hashed, f"doc_id {kind}, fp long")
+    return docs.select("doc_id", "text").mapInArrow(lambda batches: trimmed(hashed(batches)), f"doc_id {kind}, fp long")
 
 
 def _keys(fp: Column) -> Column:
@@ -149,7 +149,7 @@ def _within_keys(keyed: DataFrame) -> DataFrame:
                 out += [(key >> 40, *pair) for pair in forest(fps.values.to_numpy(), key >> 34 & 3)]
             yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.int64()) for k in range(3)], ["tag", "u", "v"])
 
-    return keyed.mapInArrow(linked, "tag long, u long, v long")
+    return keyed.mapInArrow(lambda batches: trimmed(linked(batches)), "tag long, u long, v long")
 
 
 def _masks(bits: int) -> list[int]:
@@ -315,7 +315,7 @@ def _apart(live: DataFrame, least: float) -> DataFrame:
                             root[root == root[k]] = root[i]
                 yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64()), pa.array(unsure, pa.bool_())], ["u", "v", "unsure"])
 
-    return live.groupBy("key").agg(F.collect_list(F.struct("node", "root", "bands", "hashes")).alias("m")).select("m").mapInArrow(met, "u long, v long, unsure boolean").distinct()
+    return live.groupBy("key").agg(F.collect_list(F.struct("node", "root", "bands", "hashes")).alias("m")).select("m").mapInArrow(lambda batches: trimmed(met(batches)), "u long, v long, unsure boolean").distinct()
 
 
 def _checker(docs: DataFrame, asked: DataFrame, least: float) -> tuple[Callable[[DataFrame], DataFrame], DataFrame, Callable[[DataFrame], DataFrame]]:
@@ -349,7 +349,7 @@ def _checker(docs: DataFrame, asked: DataFrame, least: float) -> tuple[Callable[
 
     def check(pairs: DataFrame) -> DataFrame:
         joined = pairs.join(s1, F.col("u") == F.col("n1")).join(s2, F.col("v") == F.col("n2")).select("u", "v", "h1", "h2")
-        return settled(stored(joined.mapInArrow(checked, "u long, v long, unsure boolean"), "drawn-checked"))
+        return settled(stored(joined.mapInArrow(lambda batches: trimmed(checked(batches)), "u long, v long, unsure boolean"), "drawn-checked"))
 
     def settled(found: DataFrame) -> DataFrame:
         clear, unsure = found.where("not unsure").select("u", "v"), found.where("unsure").select("u", "v")
