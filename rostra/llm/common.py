@@ -9,6 +9,7 @@ import uuid
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -65,6 +66,24 @@ def trimmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     trim()
 
 
+def trim_driver(spark: SparkSession, command: str = "systemTrimNativeHeap") -> bool:
+    """The same for the driver, its Python and its JVM, whose compilers and many threads free what malloc then keeps;
+    whether its JVM can do that (Java 17.0.9 on Linux)."""
+    trim()
+    jvm = spark._jvm
+    try:
+        # The server's class is hidden from py4j, the interface's method isn't.
+        kind = jvm.java.lang.Class.forName("javax.management.MBeanServerConnection")
+        (invoke,) = [m for m in kind.getMethods() if m.getName() == "invoke"]
+        values = spark.sparkContext._gateway.new_array(jvm.java.lang.Object, 4)
+        values[0] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand")
+        values[1] = command
+        invoke.invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), values)
+    except Py4JError:
+        return False
+    return True
+
+
 def byte_size(column: str) -> Column:
     """UTF-8 bytes of a string column; null counts as empty."""
     return F.coalesce(F.octet_length(column), F.lit(0)).cast("long")

@@ -23,3 +23,12 @@ def test_one_process_makes_its_own_once(master):
     s = session(master)
     first = shared_dir(s)
     assert first.startswith("file:///") and shared_dir(s) == first
+
+
+def test_the_driver_gives_memory_back_where_its_jvm_can(spark):
+    from rostra.llm.common import trim_driver
+
+    major, _, update = map(int, (spark._jvm.java.lang.System.getProperty("java.version").split(".") + ["0", "0"])[:3])
+    on_linux = spark._jvm.java.lang.System.getProperty("os.name") == "Linux"
+    assert trim_driver(spark) == (on_linux and (major, update) >= (17, 9))
+    assert not trim_driver(spark, "noSuchCommand")
